@@ -1,0 +1,81 @@
+"""apply_changes against a sequential replay."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tidelog.operators.multiset import apply_changes
+
+SCHEMA = "m string, key binary, pos bigint, command int, value binary, extra string"
+
+
+def replay(rows, base=()):
+    state = {(m, k): (None, v) for m, k, v in base}
+    for m, k, pos, cmd, v, _ in sorted(rows, key=lambda r: (r[2], r[3])):
+        if cmd == 3:
+            state.pop((m, k), None)
+        else:
+            state[m, k] = (pos, v)
+    return state
+
+
+def run(spark, rows, base=None, **kw):
+    df = spark.createDataFrame(rows, SCHEMA)
+    b = None if base is None else spark.createDataFrame(base, "m string, key binary, value binary")
+    out = apply_changes(df, ["m", "key"], "pos", F.col("command") == 3, ["value"], b, **kw).collect()
+    got = {(r.m, bytes(r.key)): (r.pos, bytes(r.value)) for r in out}
+    assert len(got) == len(out)
+    return got
+
+
+def feed(seed, n=600):
+    r = random.Random(seed)
+    rows = []
+    for pos in range(n):
+        k = b"hot" if r.random() < 0.4 else b"k%d" % r.randrange(40)
+        cmd = 3 if r.random() < 0.3 else 1
+        rows.append((r.choice("ab"), k, pos * 3 - 50, cmd, b"v%d" % pos if cmd == 1 else None, "x"))
+    rows += r.choices(rows, k=200)
+    r.shuffle(rows)
+    return rows
+
+
+def test_replay_with_copies_and_disorder(spark):
+    rows = feed(1)
+    assert run(spark, rows) == replay(rows)
+
+
+def test_hot_key_over_many_runs(spark):
+    rows = feed(2)
+    assert run(spark, rows, run_rows=50) == replay(rows)
+
+
+def test_base_rows_are_kept_replaced_or_deleted(spark):
+    rows = feed(3)
+    base = [("a", b"hot", b"old"), ("a", b"untouched", b"stays"), ("b", b"k1", b"old"), ("b", b"k99", b"stays")]
+    for kw in ({}, {"run_rows": 64}):
+        assert run(spark, rows, base, **kw) == replay(rows, base)
+
+
+def test_empty_feed(spark):
+    assert run(spark, []) == {}
+    assert run(spark, [], [("a", b"k", b"v")]) == {("a", b"k"): (None, b"v")}
+
+
+def test_delete_counts_last_at_one_position(spark):
+    rows = [("a", b"k", 5, 1, b"v", None), ("a", b"k", 5, 3, None, None), ("a", b"j", 5, 1, b"w", None)]
+    assert run(spark, rows) == {("a", b"j"): (5, b"w")}
+
+
+def test_without_payload_positions_are_the_same(spark):
+    rows = feed(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = apply_changes(df, ["m", "key"], "pos", F.col("command") == 3, run_rows=100).collect()
+    assert {(r.m, bytes(r.key)): r.pos for r in out} == {k: v[0] for k, v in replay(rows).items()}
+
+
+def test_null_key_and_long_value(spark):
+    rows = [(None, None, 1, 1, b"x" * 200_000, None), (None, None, 2, 1, b"y" * 200_000, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = apply_changes(df, ["m", "key"], "pos", F.col("command") == 3, ["value"]).collect()
+    assert [(r.m, r.key, r.pos, len(r.value)) for r in out] == [(None, None, 2, 200_000)]
