@@ -17,9 +17,9 @@ from tidelog.session import materialize
 
 LABELLED_DOCUMENTS = 8_000
 MIN_SENTENCES, MIN_WORDS = 2, 20
-MIN_SUPPORT, MIN_COUNT = 0.0002, 5
-MIN_ODDS, MIN_GAIN = 3.0, 0.05
-SMOOTHING = 10.0
+MIN_SUPPORT, MIN_COUNT = 0.0002, 3
+MIN_ODDS, MIN_GAIN = 5.0, 0.05
+SMOOTHING = 2.0
 QUARTER = 0.25
 MAX_SUBJECTS = 1_000
 
@@ -133,8 +133,8 @@ def mine_rules(sentences: DataFrame, subjects: list[str]) -> Rules:
     """Rules of labelled sentences by parallel frequent-pattern growth, the redundant ones pruned.
 
     A transaction is a sentence: its words and its document's subjects. Words that raise no
-    subject's odds threefold are left out beforehand, so that patterns are made of telling words only. Frequent patterns
-    with one subject that raise its odds threefold become rules; confidence is smoothed towards the subject's base rate.
+    subject's odds fivefold are left out beforehand, so that patterns are made of telling words only. Frequent patterns
+    with one subject that raise its odds fivefold become rules; confidence is smoothed towards the subject's base rate.
     A rule is redundant if one with fewer words and the same subject is as confident within 0.05. Its weight is the log
     odds its match adds to the base rate.
     """
@@ -210,8 +210,8 @@ def calibrate(rules: Rules, bearing: np.ndarray, agreed: np.ndarray) -> Rules:
 def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, labelled_documents: int = LABELLED_DOCUMENTS) -> Rules:
     """Rules mined and calibrated on at most ``labelled_documents`` labelled documents, chosen by hash of their id.
 
-    Four fifths of the sample (by another hash) give the rules, the rest calibrates them, so that the rules are not
-    judged on the sentences they were mined from.
+    For the cut, rules from four fifths of the sample (by another hash) are tried on the rest, so that they are not judged
+    on the sentences they were mined from; the rules that are used are then mined from the whole sample.
     """
     names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
     if len(names) > MAX_SUBJECTS:
@@ -228,7 +228,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, l
         if best >= 0:
             bearing.append(share)
             agreed.append(names[best] in r.classes)
-    return calibrate(rules, np.array(bearing), np.array(agreed, bool))
+    return calibrate(mine_rules(sentences, names), np.array(bearing), np.array(agreed, bool))
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = QUARTER, labelled_documents: int = LABELLED_DOCUMENTS) -> DataFrame:
