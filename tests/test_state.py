@@ -218,3 +218,30 @@ def _yaml(folder, text):
     p = folder / "c.yaml"
     p.write_text(text)
     return str(p)
+
+
+def test_client_lines():
+    from tidelog.cli import session
+
+    class Fake(dict):
+        def get(self, k):
+            if k not in self:
+                raise KeyNotFound(k)
+            return self[k]
+
+        def set(self, k, v):
+            self[k] = v
+
+        def delete(self, k):
+            self.pop(k, None)
+
+    lines = ["get a", "set a 1", "GET a", "", "SET a b c", "del a", "GET a", "what", "help", "exit", "GET a"]
+    said = list(session(Fake(), lines))
+    assert said[:3] == ["error: key not found: b'a'", "OK", "1"] and said[3] == "usage: SET key value"
+    assert said[4:7] == ["OK", "error: key not found: b'a'", "unknown command: what"] and len(said) == 8
+
+
+def test_replica_ids(spark):
+    df = spark.createDataFrame([("a", 5), ("", 6), (None, 7)], "given string, lsn bigint").withColumn("at", F.timestamp_seconds(F.lit(100)))
+    got = [r[0] for r in df.select(replication.replica_id(F.col("given"), F.col("lsn"), F.col("at"))).collect()]
+    assert got == ["a", "slave-100-6", "slave-100-7"]

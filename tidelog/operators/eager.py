@@ -23,8 +23,9 @@ def eager_join_aggregate(
     left, group key): its row count, sums and maxima. States are joined; a joined pair stands for
     ``n_left * n_right`` rows, a left sum counts ``n_right`` times and a right sum ``n_left`` times. The states are
     then rolled up to ``by``. A key with a third of all rows is one state per map task before anything is
-    shuffled, and neither the exchange nor the join ever sees its rows. The join states are salted by nothing and
-    need not be: their number per join key is that of the group keys under it, spread by AQE's skew join.
+    shuffled, and neither the exchange nor the join ever sees its rows. Under one join key
+    there are as many states as group keys; a join key with very many is split by AQE's skew join, which the roll-up's own
+    exchange leaves free to act.
 
     Result: ``(*by, n, *left_sums, *right_sums, *left_max)``. Join keys that are null match each other, as rows
     would otherwise get lost from per-key results; null group keys form a group; null values add nothing to sums;

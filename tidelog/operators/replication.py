@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.records import batch_error
@@ -59,3 +59,31 @@ def min_replica_lsn(positions: DataFrame) -> DataFrame:
 def apply_batches(log: DataFrame, redelivered: DataFrame) -> DataFrame:
     """State of a replica that holds ``log`` and is sent more, some of it again: the fold does not mind repeats."""
     return fold(log.unionByName(redelivered))
+
+
+def replica_id(given: Column, lsn: Column, at: Column) -> Column:
+    """The id a replica gave, or one made of time and position for one that gave none."""
+    made = F.concat(F.lit("slave-"), F.unix_timestamp(at).cast("string"), F.lit("-"), lsn.cast("string"))
+    return F.coalesce(F.when(F.length(given) > 0, given), made)
+
+
+def handshake_json(positions: DataFrame) -> DataFrame:
+    """What each replica sends first: ``(replica, message)``. A replica without a position sends 2^64-1."""
+    lsn = F.coalesce(F.col("last_lsn").cast("decimal(20,0)"), dec(MAX_U64))
+    return positions.select("replica", F.to_json(F.struct(F.lit("lsn_sync").alias("type"), lsn.alias("last_lsn"), F.col("replica").alias("slave_id"))).alias("message"))
+
+
+def handshake_reply(accepted: Column, replica: Column, why: Column) -> Column:
+    """``{"status":"OK","slave_id":...}`` or ``ERROR: ...``."""
+    return F.when(accepted, F.to_json(F.struct(F.lit("OK").alias("status"), replica.alias("slave_id")))).otherwise(F.concat(F.lit("ERROR: "), why))
+
+
+def assigned_id(reply: Column) -> Column:
+    """The id that a reply gives the replica; null for a bare ``OK`` or a refusal."""
+    return F.get_json_object(reply, "$.slave_id")
+
+
+def start_lsn(last_lsn: Column) -> Column:
+    """First LSN to be shipped: the one after the position, 0 for 2^64-1 or none."""
+    at = last_lsn.cast("decimal(20,0)")
+    return F.when(at.isNull() | (at >= dec(MAX_U64)), F.lit(0)).otherwise(at + 1).cast("decimal(20,0)")

@@ -71,8 +71,8 @@ def kv_multi_get_found(spark, d):
 
 def kv_delete_idempotent(spark, d):
     log = _log(spark, d).drop("at_ms")
-    gone = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0")
-    gone = gone.select((F.col("c_custkey") + 10**12).alias("lsn"), F.lit(DEL).alias("command"), F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"), F.lit(None).cast("string").alias("value"))
+    user = F.concat(F.lit("user:"), F.col("n_nationkey").cast("string"))
+    gone = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 10**12).alias("lsn"), F.lit(DEL).alias("command"), user.alias("key"), F.lit(None).cast("string").alias("value"))
     return state.fold(log.unionByName(gone))
 
 
@@ -220,6 +220,48 @@ def kv_replica_registry(spark, d):
     return replication.registry(regs)
 
 
+def kv_handshake_roundtrip(spark, d):
+    """Positions as handshakes, parsed again, and where shipping starts."""
+    sent = replication.handshake_json(_positions(spark, d)).select("message", F.lit("OK").alias("reply"))
+    back = handshakes(sent).where("accepted")
+    lsn = pos_to_bigint(F.col("pos"))
+    return back.select(F.col("slave").alias("replica"), lsn.alias("last_lsn"), replication.start_lsn(lsn).cast("bigint").alias("start_lsn"))
+
+
+def kv_handshake_reply(spark, d):
+    """The reply to every handshake, and the id it gives."""
+    h = handshakes(spark.read.parquet(f"{d}/sync_messages.parquet").withColumn("reply", F.lit("OK")))
+    reply = replication.handshake_reply(F.col("accepted"), F.col("slave"), F.lit("invalid message"))
+    return h.select("msg_id", reply.alias("answer")).withColumn("slave_id", replication.assigned_id(F.when(F.col("answer").startswith("{"), F.col("answer"))))
+
+
+def kv_oversize_records(spark, d):
+    """Applicable records whose command frame would exceed a message of 256 bytes, per master."""
+    from tidelog.functions.records import log_changes
+
+    log = log_changes(spark.read.parquet(f"{d}/wal_log.parquet"))
+    name = F.when(F.col("command") == SET, "SET").otherwise("DEL")
+    size = F.octet_length(layout.command_frame(name, F.col("key"), F.col("value")))
+    return log.groupBy("master_id").agg(F.sum(F.when(size > 256, 1).otherwise(0)).alias("oversize"), F.max(size).alias("largest"))
+
+
+def kv_next_lsn(spark, d):
+    """Per master, the LSN after its last applicable record."""
+    from tidelog.functions.records import log_changes
+
+    return log_changes(spark.read.parquet(f"{d}/wal_log.parquet")).groupBy("master_id").agg((pos_to_bigint(F.max("pos")) + 1).alias("next_lsn"))
+
+
+def kv_last_segment(spark, d):
+    """Per master, the manifest's last entry: the segment that opens latest, by its first LSN."""
+    from tidelog.functions.records import log_changes
+
+    log = log_changes(spark.read.parquet(f"{d}/wal_log.parquet"), scope=("master_id", "segment", "ordinal"))
+    starts = log.groupBy("master_id", "segment").agg(F.min_by("pos", "ordinal").alias("start"))
+    last = starts.groupBy("master_id").agg(F.max(F.struct("segment", "start")).alias("s"))
+    return last.select("master_id", "s.segment", pos_to_bigint(F.col("s.start")).alias("lsn_start"))
+
+
 def kv_replica_apply(spark, d):
     log = _log(spark, d)
     return replication.apply_batches(log.where("lsn < 9000"), log.where("lsn >= 8000"))
@@ -348,7 +390,7 @@ SQL = {
     "kv_state_orders": "SELECT key, lsn FROM (SELECT 'cust:' || o_custkey AS key, o_orderkey AS lsn, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1 AND s <> 'F'",
     "kv_point_get": f"SELECT key, value FROM ({_fold(_LOG)}) WHERE key = 'user:42'",
     "kv_multi_get_found": f"SELECT w.key, s.lsn IS NOT NULL AS found, s.value FROM (SELECT DISTINCT 'user:' || c_custkey AS key FROM customer) w LEFT JOIN ({_fold(_LOG)}) s ON w.key = s.key",
-    "kv_delete_idempotent": _fold(f"(SELECT lsn, command, key, value FROM {_LOG} UNION ALL SELECT c_custkey + 1000000000000, 3, 'user:' || c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0)"),
+    "kv_delete_idempotent": _fold(f"(SELECT lsn, command, key, value FROM {_LOG} UNION ALL SELECT n_nationkey + 1000000000000, 3, 'user:' || n_nationkey, NULL FROM nation)"),
     "kv_command_validate": f"SELECT coalesce({_COMMAND_ERROR}, 'ok') AS error, count(*) AS n FROM {_COMMANDS} GROUP BY 1",
     "kv_read_only_gate": f"SELECT command, coalesce({_COMMAND_ERROR}, CASE WHEN command IN ('SET', 'DEL') THEN 'This instance is in read-only mode' END, 'served') AS outcome, count(*) AS n FROM {_COMMANDS} GROUP BY 1, 2",
     "kv_record_validate": """SELECT coalesce(CASE WHEN lsn IS NULL OR command IS NULL THEN 'log entry is nil' WHEN coalesce(len(arguments), 0) = 0 THEN 'log entry has no arguments'
@@ -382,6 +424,14 @@ SELECT o.lsn, coalesce(m.segment, 0) AS segment FROM (SELECT DISTINCT o_orderkey
  SELECT master_id || '/' || slave_id AS replica, CAST(max(events[len(events)].lsn) AS BIGINT) AS lsn FROM repl_batches WHERE reply = 'OK' AND {_BATCH_ERROR} IS NULL GROUP BY 1) s USING (replica)""",
     "kv_min_replica_lsn": f"SELECT CAST(coalesce(min(last_lsn), 18446744073709551615) AS VARCHAR) AS min_lsn FROM {_POSITIONS}",
     "kv_replica_registry": f"SELECT replica, last_lsn FROM (SELECT master_id || '/' || slave_id AS replica, last_lsn, row_number() OVER (PARTITION BY master_id, slave_id ORDER BY msg_id DESC) AS rn FROM {_HANDSHAKE} WHERE accepted) WHERE rn = 1",
+    "kv_handshake_roundtrip": f"SELECT replica, last_lsn, coalesce(last_lsn + 1, 0) AS start_lsn FROM {_POSITIONS}",
+    "kv_handshake_reply": f"""SELECT msg_id, CASE WHEN accepted THEN '{{"status":"OK","slave_id":"' || slave_id || '"}}' ELSE 'ERROR: invalid message' END AS answer,
+ CASE WHEN accepted THEN slave_id END AS slave_id FROM {_HANDSHAKE.replace("FROM sync_messages", "FROM (SELECT msg_id, master_id, message, 'OK' AS reply FROM sync_messages)")}""",
+    "kv_oversize_records": f"""SELECT master_id, CAST(sum(CASE WHEN n > 256 THEN 1 ELSE 0 END) AS BIGINT) AS oversize, CAST(max(n) AS INTEGER) AS largest FROM (
+ SELECT master_id, 10 + octet_length(arguments[1]) + coalesce(octet_length(arguments[2]), 0) AS n FROM wal_log WHERE {_OK}) GROUP BY 1""",
+    "kv_next_lsn": f"SELECT master_id, CAST(max(lsn) AS BIGINT) + 1 AS next_lsn FROM wal_log WHERE {_OK} GROUP BY 1",
+    "kv_last_segment": f"""SELECT master_id, segment, CAST(lsn_start AS BIGINT) AS lsn_start FROM (SELECT *, row_number() OVER (PARTITION BY master_id ORDER BY segment DESC) AS rn FROM (
+ SELECT master_id, segment, arg_min(lsn, ordinal) AS lsn_start FROM wal_log WHERE {_OK} GROUP BY 1, 2)) WHERE rn = 1""",
     "kv_replica_apply": _fold(_LOG),
     "kv_retry_delays": "SELECT CAST(i AS INTEGER) AS attempt, CAST(least(100 * (1 << i), 5000) AS BIGINT) AS delay_ms FROM range(12) t(i)",
     "kv_stream_state": _fold(_LOG),
