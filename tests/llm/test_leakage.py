@@ -97,6 +97,15 @@ def test_nine_words_are_not_enough_and_windows_do_not_cross_documents(spark):
         assert [(r.doc_id, r.longest) for r in got] == [(3, 10)]
 
 
+def test_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, text, ""), (1, text, ""), (None, text, ""), (2, None, "")], DOCS)
+    i = spark.createDataFrame([(7, text, ""), (7, text, ""), (7, "other words", ""), (None, text, "")], ITEMS)
+    for windows in (10**6, 0):
+        got = leaked_items(d, i, local_windows=windows).collect()
+        assert [(r.doc_id, r.item_id, r.tiles, r.coverage) for r in got] == [(1, 7, 1, 1.0)]
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     one = spark.createDataFrame([(1, "a " * 30, "")], ITEMS)

@@ -95,13 +95,13 @@ class ItemIndex:
     """The seeds of a set of evaluation items: window hash -> places."""
 
     def __init__(self, items: Sequence[tuple[int, list[str]]], w: int):
-        self.w, self.words = w, dict(items)
+        self.w, self.items = w, list(items)
         self.number = {x: word_number(x) for _, words in items for x in words}
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, words in items:
+        for at, (_, words) in enumerate(self.items):
             numbers = np.array([self.number[x] for x in words], np.uint64)
             for j, h in enumerate(window_hashes(numbers, w).tolist()):
-                self.places[h].append((item, j))
+                self.places[h].append((at, j))
         self.seeds = np.sort(np.array(list(self.places), np.uint64))
 
     def tiles(self, docs: Sequence[tuple[int, list[str]]]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -126,11 +126,11 @@ class ItemIndex:
         for d, i, h in zip(owner[inside].tolist(), (whole - starts[owner])[inside].tolist(), hashes[inside].tolist()):
             window = docs[d][1][i : i + w]
             for item, j in self.places[h]:
-                if self.words[item][j : j + w] == window:
+                if self.items[item][1][j : j + w] == window:
                     pairs[d, item].append((i, j))
         for (d, item), found in pairs.items():
             for i, j, size in greedy_tiles(found, w):
-                yield docs[d][0], item, i, j, size, len(self.words[item])
+                yield docs[d][0], self.items[item][0], i, j, size, len(self.items[item][1])
 
 
 def _to_batches(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -193,21 +193,24 @@ def leaked_tiles(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
     and tiles its documents in place, without a shuffle; the bound is checked, not assumed. Beyond it the seeds of both
     sides are joined by shuffle, and texts follow for candidate pairs only. Both ways give the same rows.
 
-    Null and empty texts have no words. Items of fewer than ``min_words`` words have no windows and never leak. Ids
-    must be unique and not null. Extra columns are ignored; an empty side gives an empty result. Whole texts are read.
+    Null and empty texts have no words. Items of fewer than ``min_words`` words have no windows and never leak. Rows with a
+    null id are left out, repeated rows count once, different texts under one id are tiled each on its own. Extra columns
+    are ignored; an empty side gives an empty result. Whole texts are read.
     """
-    kept = items.where("text IS NOT NULL").select("item_id", "text")
+    documents = documents.where("doc_id IS NOT NULL")
+    kept = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
     chars = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if chars <= 2 * local_windows:
-        return _tile_locally(documents, [(r.item_id, r.text) for r in kept.collect()], min_words)
-    return _tile_by_join(documents, kept, min_words)
+        return _tile_locally(documents, sorted((r.item_id, r.text) for r in kept.collect()), min_words).distinct()
+    return _tile_by_join(documents, kept, min_words).distinct()
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_coverage: float = 0.0, **options) -> DataFrame:
     """Per document and leaked item: ``(doc_id, item_id, tiles, longest, coverage)``.
 
     ``coverage`` is the share of the item's words that lie in tiles; pairs below ``min_coverage`` are left out. Tiles do
-    not overlap in the item, so a share never exceeds 1, and the order of passages does not matter.
+    not overlap in the item, so a share never exceeds 1 (unless one id has several texts, whose tiles add up), and the order
+    of passages does not matter.
     """
     t = leaked_tiles(documents, items, **options).groupBy("doc_id", "item_id")
     t = t.agg(F.count("*").alias("tiles"), F.max("words").alias("longest"), (F.sum("words") / F.max("item_words")).alias("coverage"))
