@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.operators.sizing import broadcast_if_small
 from tidelog.session import materialize
 
 NODE_ITEMS = 1_000_000
 NODE_BYTES = 64_000_000
+CANDIDATES_BROADCAST = 50_000
 
 
 def _counter(columns: list[str], schema: pa.Schema, node_items: int, node_bytes: int):
@@ -85,7 +87,8 @@ def frequent_items(
     3. The candidates left are counted exactly over all nodes.
 
     Local counts lie in a table in the shared folder, so that the phases read the same numbers if executors are
-    lost. Only leaders and candidates are ever shuffled; a node gives at most (its rows)/(bound/m) candidates.
+    lost. Only leaders and candidates are ever shuffled, unless there are so many candidates (counted first) that they are
+    not broadcast to the nodes; a node gives at most (its rows)/(bound/m) of them.
     Result ``(*columns, n)``. Ties with the k-th item are all kept. Null is an item like any other (filter it
     before if it is not wanted); an empty input gives an empty result.
     """
@@ -104,7 +107,7 @@ def frequent_items(
     known = local.where(F.col("n") >= share).groupBy(*columns).agg(F.sum("n").alias("n"), F.count("*").alias("speaking"))
     candidates = known.where(F.col("n") + (nodes - F.col("speaking")) * (share - 1) >= bound).select(*columns)
     same = [F.col(f"held.{c}").eqNullSafe(F.col(f"cand.{c}")) for c in columns]
-    fetched = local.alias("held").join(candidates.alias("cand"), same, "left_semi")
+    fetched = local.alias("held").join(broadcast_if_small(candidates, CANDIDATES_BROADCAST).alias("cand"), same, "left_semi")
     exact = fetched.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= bound)
     if k is None:
         return exact
