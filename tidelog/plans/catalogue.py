@@ -303,6 +303,16 @@ def kv_stream_replica(spark, d):
     return Replica(spark, shared_dir(spark, "replica")).follow(_event_stream(spark, d)).state()
 
 
+def kv_ship_receive(spark, d):
+    """The log shipped to a replica's inbox as JSON batches, received, checked and applied there."""
+    from tidelog.streaming.ship import Receiver, ship
+
+    at = shared_dir(spark, "ship")
+    ship(_event_stream(spark, d).drop("at_ms"), f"{at}/inbox", f"{at}/sent", size=SHIP)
+    state_of = Receiver(spark, f"{at}/inbox", f"{at}/replica").follow().state()
+    return state_of.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "lsn")
+
+
 def kv_wal_roundtrip(spark, d):
     """Written to segment files in LSN order, read back and folded."""
     from tidelog.sources.wal import register
@@ -437,6 +447,7 @@ SELECT o.lsn, coalesce(m.segment, 0) AS segment FROM (SELECT DISTINCT o_orderkey
     "kv_stream_state": _fold(_LOG),
     "kv_stream_state_tws": _fold(_LOG),
     "kv_stream_replica": _fold(_LOG),
+    "kv_ship_receive": _fold(_LOG),
     "kv_wal_roundtrip": _fold(_LOG),
     "kv_replay_file_order": f"""SELECT master_id, hex(arguments[1]) AS key_hex, CAST(arg_max(lsn, (segment, ordinal, lsn)) AS BIGINT) AS by_file, CAST(max(lsn) AS BIGINT) AS by_lsn
 FROM wal_log WHERE {_OK} GROUP BY 1, 2 HAVING by_file <> by_lsn""",
