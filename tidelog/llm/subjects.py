@@ -151,13 +151,9 @@ def mine_rules(sentences: DataFrame, subjects: list[str]) -> Rules:
         return Rules({}, subjects)
     useful = joint.join(support, "w").where(F.col("k") * (1 - rate[F.col("c")]) >= MIN_ODDS * rate[F.col("c")] * (F.col("n") - F.col("k"))).select("w").distinct()
     vocabulary = {r.w for r in useful.collect()}
-    kept = F.array_intersect("words", F.array(*(F.lit(w) for w in sorted(vocabulary)))) if len(vocabulary) < 5000 else None
     if not vocabulary:
         return Rules({}, subjects)
-    if kept is None:
-        words = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "classes", F.explode("words").alias("w"))
-        rows = words.join(useful, "w").groupBy("id").agg(F.collect_set("w").alias("words"), F.first("classes").alias("classes"))
-        kept = F.col("words")
+    kept = F.filter("words", lambda w: w.isin(*sorted(vocabulary)))
     items = rows.select(F.concat(F.transform(kept, lambda w: F.concat(F.lit("w:"), w)), F.transform("classes", lambda c: F.concat(F.lit("c:"), c))).alias("items"))
 
     from pyspark.ml.fpm import FPGrowth
@@ -218,7 +214,10 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, l
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     sample = consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_documents)
     sample = broadcast_if_small(materialize(sample, "labels"), labelled_documents)
-    sentences = materialize(_sentences(documents.select("doc_id", "text").join(sample, "doc_id")), "sentences")
+    # The sample's texts are few; dealt anew, all cores share the mining however few files they lay in.
+    tasks = documents.sparkSession.sparkContext.defaultParallelism
+    texts = documents.select("doc_id", "text").join(sample, "doc_id").repartition(tasks, "doc_id")
+    sentences = materialize(_sentences(texts), "sentences")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))
     rules = mine_rules(sentences.where(fold > 0), names)
     held = sentences.where(fold == 0).groupBy("doc_id", "para", "classes").agg(F.collect_list("words").alias("sentences"))
