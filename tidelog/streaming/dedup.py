@@ -16,7 +16,7 @@ from tidelog.session import child_dirs, path_exists, shared_dir, stream_path
 
 BLOCK_BITS = 11
 HORIZON = "6 hours"
-FILES_PER_TRIGGER = 16
+BYTES_PER_TRIGGER = 512 << 20
 
 OUTCOME = "master_id string, slave_id string, pos bigint, batch_id bigint, event_pos bigint, outcome string"
 STATE = "seen binary, expired boolean"
@@ -76,9 +76,11 @@ class Deduplicator:
     identify like other values. An empty input keeps nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, horizon: str = HORIZON, bits: int = BLOCK_BITS, files_per_trigger: int = FILES_PER_TRIGGER):
+    def __init__(self, spark: SparkSession, path: str | None = None, horizon: str = HORIZON, bits: int = BLOCK_BITS, files_per_trigger: int | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
         self.spark, self.path = spark, path or shared_dir(spark, "dedup")
-        self.horizon, self.bits, self.files_per_trigger = horizon, bits, files_per_trigger
+        self.horizon, self.bits = horizon, bits
+        # An epoch takes so much of the input; more at once saves commits, less bounds what a failure repeats.
+        self.pace = {"maxFilesPerTrigger": str(files_per_trigger)} if files_per_trigger else {"maxBytesPerTrigger": str(bytes_per_trigger)}
         self.horizon_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
 
     def events(self, batches: DataFrame) -> DataFrame:
@@ -125,8 +127,7 @@ class Deduplicator:
     def run(self, source: str) -> "Deduplicator":
         """Take in what is new at ``source`` (a Parquet file or folder of batches) and stop; call again for more."""
         schema = self.spark.read.parquet(source).schema
-        options = {"maxFilesPerTrigger": str(self.files_per_trigger)}
-        stream = self.spark.readStream.schema(schema).options(**options).parquet(stream_path(self.spark, source))
+        stream = self.spark.readStream.schema(schema).options(**self.pace).parquet(stream_path(self.spark, source))
         rows = self.events(stream).withWatermark("sent_at", "0 seconds")
         # Late rows must reach the state. The watermark has seen the true event times above; below, the column that
         # carries its mark is null, which the filter for late rows lets pass, and the time goes on as a number.
