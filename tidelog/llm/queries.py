@@ -1,4 +1,4 @@
-"""Queries p7 to p9 over whole tables and texts."""
+"""Queries p4 and p7 to p9 over whole tables and texts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.leakage import leaked_items
 from tidelog.llm.subjects import document_subjects
 from tidelog.llm.tokenize import encode_corpus
+from tidelog.llm.topk import frequent_items
 
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 
@@ -18,6 +19,23 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _items(log: DataFrame) -> DataFrame:
+    """Every argument of every row with a command: ``(command, arg_pos, item)``."""
+    return log.where("command IS NOT NULL").select("command", F.posexplode("arguments").alias("arg_pos", "item")).where("item IS NOT NULL")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments on at least 0.5 % of all rows, by command and position."""
+    log = _table(spark, d, "wal_log")
+    least = -(-log.count() // 200)
+    return frequent_items(_items(log), ["command", "arg_pos", "item"], at_least=least).select("command", "arg_pos", F.hex("item").alias("item_hex"))
+
+
+def p4_top100(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 most frequent arguments with their counts; all that tie with the last."""
+    return frequent_items(_items(_table(spark, d, "wal_log")), ["command", "arg_pos", "item"], k=100).select("command", "arg_pos", F.hex("item").alias("item_hex"), F.col("n"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(_table(spark, d, "documents"), VOCABULARY)
@@ -44,12 +62,20 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("subject").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_coverage, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_top100, p7_ids, p8_found, p8_coverage, p9_found, p9_composition)}
 
 _GRAMS = r"""SELECT DISTINCT {id}, w[i:i + 9] AS gram FROM (
  SELECT {id}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id}, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: lower(x)) AS w FROM {table}))"""
 
+_ITEMS = """SELECT command, CAST(arg_pos AS INTEGER) AS arg_pos, item FROM (
+  SELECT command, unnest(arguments) AS item, unnest(range(len(arguments))) AS arg_pos FROM wal_log WHERE command IS NOT NULL)
+ WHERE item IS NOT NULL"""
+
 SQL = {
+    "p4_found": f"""SELECT command, arg_pos, hex(item) AS item_hex FROM ({_ITEMS}) GROUP BY ALL
+HAVING count(*) * 200 >= (SELECT count(*) FROM wal_log)""",
+    "p4_top100": f"""SELECT command, arg_pos, item_hex, n FROM (
+ SELECT command, arg_pos, hex(item) AS item_hex, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS place FROM ({_ITEMS}) GROUP BY 1, 2, 3) WHERE place <= 100""",
     "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d
 JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) e USING (gram)""",
 }
