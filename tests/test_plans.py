@@ -22,7 +22,7 @@ def exchanges(df):
 
 @pytest.mark.parametrize(
     "name,most",
-    [("p1_found", 1), ("p1_state", 1), ("p5_found", 3), ("kv_state_latest", 1), ("kv_point_get", 1), ("kv_shard_sizes", 2), ("kv_scan_from_lsn", 0), ("kv_record_bytes", 0), ("kv_history", 1)],
+    [("p1_found", 1), ("p1_state", 1), ("p5_found", 2), ("kv_state_latest", 1), ("kv_point_get", 1), ("kv_shard_sizes", 2), ("kv_scan_from_lsn", 0), ("kv_record_bytes", 0), ("kv_history", 1)],
 )
 def test_number_of_shuffles(spark, name, most):
     assert exchanges(entry.queries()[name](spark, D)) <= most

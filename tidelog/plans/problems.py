@@ -1,4 +1,4 @@
-"""Queries p1 to p6 over whole tables, and their defining SQL."""
+"""Queries p1 to p3, p5 and p6 over whole tables, and their defining SQL."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from tidelog.operators.incremental import to_intervals, unprocessed
 from tidelog.operators.multiset import apply_changes
 from tidelog.operators.reconcile import compare_copies
 from tidelog.operators.sizing import broadcast_if_small
-from tidelog.operators.topk import frequent_items
 from tidelog.schema import DEL, SET
 from tidelog.streaming.dedup import Deduplicator
 
@@ -76,34 +75,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lacking.select("master_id", "slave_id", pos_to_bigint(F.col("pos")).alias("lsn"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Arguments on at least 0.5 % of all rows, by command and position."""
-    log = table(spark, d, "wal_log")
-    items = log.where("command IS NOT NULL").select("command", F.posexplode("arguments").alias("arg_pos", "item")).where("item IS NOT NULL")
-    least = -(-log.count() // 200)
-    return frequent_items(items, ["command", "arg_pos", "item"], at_least=least).select("command", "arg_pos", F.hex("item").alias("item_hex"))
-
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keys on at least 1 % of all rows: those whose rows, joined with all rows of the same key, make at least (rows / 100)^2 pairs.
 
-def p4_top100(spark: SparkSession, d: str) -> DataFrame:
-    """The 100 most frequent arguments with their counts; all that tie with the last."""
+    The log joined with itself by key is the most uneven join there is: the hottest key alone makes a hundredth of the
+    square of all rows. Both inputs are the same here, so their states are exchanged once.
+    """
     log = table(spark, d, "wal_log")
-    items = log.where("command IS NOT NULL").select("command", F.posexplode("arguments").alias("arg_pos", "item")).where("item IS NOT NULL")
-    return frequent_items(items, ["command", "arg_pos", "item"], k=100).select("command", "arg_pos", F.hex("item").alias("item_hex"), F.col("n"))
-
-
-def _per_key(spark: SparkSession, d: str) -> DataFrame:
-    """Per key over all masters: rows, masters' rows and the latest applicable LSN, through a join with the masters."""
-    log = table(spark, d, "wal_log").select("master_id", F.get("arguments", F.lit(0)).alias("key"), "lsn", "command").where("key IS NOT NULL")
-    masters = log.select("master_id").distinct()
-    return eager_join_aggregate(
-        log, masters, ["master_id"], ["key"], left_sums={"sets": F.when(F.col("command") == SET, 1).otherwise(0)}, left_max={"last_pos": to_pos(F.col("lsn"))}
-    )
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Keys on at least 1 % of all rows."""
-    total = table(spark, d, "wal_log").count()
-    return _per_key(spark, d).where(F.col("n") * 100 >= total).select(F.hex("key").alias("key_hex"))
+    keys = log.select(F.get("arguments", F.lit(0)).alias("key")).where("key IS NOT NULL")
+    total = F.lit(log.count()).cast("decimal(19,0)")
+    pairs = eager_join_aggregate(keys, keys, ["key"], ["key"])
+    return pairs.where(F.col("n") * 10000 >= total * total).select(F.hex("key").alias("key_hex"))
 
 
 def p5_replica_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +98,7 @@ def p5_replica_pairs(spark: SparkSession, d: str) -> DataFrame:
         *sides, ["master_id", "key"], ["key"],
         left_sums={"left_sets": F.when(F.col("command") == SET, 1).otherwise(0)}, right_sums={"right_sets": F.when(F.col("command") == SET, 1).otherwise(0)},
     )
-    return out.select(F.hex("key").alias("key_hex"), F.col("n").alias("pairs"), "left_sets", "right_sets")
+    return out.select(F.hex("key").alias("key_hex"), *(F.col(c).cast("bigint").alias(n) for c, n in (("n", "pairs"), ("left_sets", "left_sets"), ("right_sets", "right_sets"))))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +111,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("master_id", pos_to_bigint(F.col("pos")).alias("lsn"), "diff")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_kept, p3_found, p4_found, p4_top100, p5_found, p5_replica_pairs, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_kept, p3_found, p5_found, p5_replica_pairs, p6_found)}
 
 _APPLICABLE = """lsn IS NOT NULL AND ((command = 1 AND len(arguments) = 2 AND octet_length(arguments[1]) > 0 AND octet_length(arguments[2]) > 0)
  OR (command = 3 AND len(arguments) = 1 AND octet_length(arguments[1]) > 0))"""
@@ -143,9 +125,6 @@ _COPIES = f"""SELECT *, row_number() OVER (PARTITION BY master_id, slave_id, lsn
  SELECT master_id, slave_id, batch_id, e.lsn AS lsn, event_pos FROM (
   SELECT master_id, slave_id, batch_id, unnest(events) AS e, CAST(unnest(range(len(events))) AS BIGINT) AS event_pos
   FROM repl_batches WHERE {_VALID})) WHERE lsn IS NOT NULL"""
-_ITEMS = """SELECT command, CAST(arg_pos AS INTEGER) AS arg_pos, item FROM (
-  SELECT command, unnest(arguments) AS item, unnest(range(len(arguments))) AS arg_pos FROM wal_log WHERE command IS NOT NULL)
- WHERE item IS NOT NULL"""
 
 SQL = {
     "p1_found": f"SELECT master_id, hex(arguments[1]) AS key_hex, lsn FROM ({_LIVE})",
@@ -169,10 +148,6 @@ SQL = {
 SELECT l.master_id, s.slave_id, CAST(l.lsn AS BIGINT) AS lsn FROM log l JOIN replicas s USING (master_id)
 WHERE (s.position IS NULL OR l.lsn > s.position)
  AND NOT EXISTS (SELECT 1 FROM acked a WHERE a.master_id = l.master_id AND a.slave_id = s.slave_id AND a.lsn = l.lsn)""",
-    "p4_found": f"""SELECT command, arg_pos, hex(item) AS item_hex FROM ({_ITEMS}) GROUP BY ALL
-HAVING count(*) * 200 >= (SELECT count(*) FROM wal_log)""",
-    "p4_top100": f"""SELECT command, arg_pos, item_hex, n FROM (
- SELECT command, arg_pos, hex(item) AS item_hex, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS place FROM ({_ITEMS}) GROUP BY 1, 2, 3) WHERE place <= 100""",
     "p5_found": """SELECT hex(arguments[1]) AS key_hex FROM wal_log WHERE arguments[1] IS NOT NULL GROUP BY 1
 HAVING count(*) * 100 >= (SELECT count(*) FROM wal_log)""",
     "p5_replica_pairs": """WITH l AS (SELECT master_id, hex(arguments[1]) AS k, count(*) AS n, count(*) FILTER (command = 1) AS s FROM wal_log WHERE arguments[1] IS NOT NULL GROUP BY ALL),
