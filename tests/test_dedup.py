@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.schema import LOG_BATCH
 from tidelog.streaming.dedup import Deduplicator
@@ -74,14 +75,61 @@ def test_files_out_of_order_expired_state_and_restarts(spark, folder, tmp_path):
         # Each run resumes from the checkpoint; the short horizon has let most states expire by then.
         d = Deduplicator(spark, path, horizon="1 hour", files_per_trigger=1).run(folder)
     assert result(d) == brute(batches)
-    assert any("resolved" in str(p) for p in (tmp_path / "out").rglob("*")), "no expired state was looked up in the ledger"
+    assert any("step=1" in str(p) for p in (tmp_path / "out").rglob("*")), "no expired state was looked up in the ledger"
+
+
+def test_null_ids_after_expiry(spark, folder, tmp_path):
+    """Copies that come after their state has expired are found, whatever ids are null."""
+    ids = [("m", "s"), ("m", None), (None, "s"), (None, None)]
+    batches = [batch(i, [5, 7], 0, m, s) for i, (m, s) in enumerate(ids)]
+    batches += [batch(10, [1], 1000, "x", "y"), batch(11, [1], 2000, "x", "y")]
+    batches += [batch(20 + i, [7, 9], 0, m, s) for i, (m, s) in enumerate(ids)]
+    path = f"file://{tmp_path}/out"
+    for i, part in enumerate((batches[:4], batches[4:5], batches[5:6], batches[6:])):
+        write(spark, folder, part, str(i))
+        d = Deduplicator(spark, path, horizon="1 hour").run(folder)
+    assert result(d) == brute(batches)
+    checked = [p for p in (tmp_path / "out" / "ledger").rglob("*.parquet") if "outcome=check" in str(p)]
+    assert checked, "nothing was looked up: the states had not expired"
+
+
+def test_late_rows_are_not_filtered(spark, folder, tmp_path):
+    """Pins what the operator relies on: rows behind the watermark reach the state and none is counted as dropped."""
+    path = f"file://{tmp_path}/out"
+    for i, part in enumerate(([batch(1, [1], 5000)], [batch(2, [1], 5001)], [batch(3, [2], 0), batch(4, [2], 0)])):
+        write(spark, folder, part, str(i))
+        d = Deduplicator(spark, path, horizon="1 hour").run(folder)
+    assert result(d) == ({(2, 0), (4, 0)}, {(1, 0), (3, 0)})
+
+
+def test_repeated_rows_and_null_batch_ids(spark, folder):
+    rows = [batch(1, [5, 6]), batch(1, [5, 6]), batch(None, [5, 9]), batch(None, [9, 8])]
+    write(spark, folder, rows, "a")
+    d = Deduplicator(spark).run(folder)
+    assert {(r.batch_id, r.event_pos, int(r.pos) + 2**63) for r in d.surplus().collect()} == {(None, 0, 5), (None, 1, 9)}
+    assert sorted((int(r.pos) + 2**63, r.batch_id, r.event_pos) for r in d.kept().where("batch_id IS NOT NULL").collect()) == [(5, 1, 0), (6, 1, 1)]
+    assert {(int(r.pos) + 2**63, r.event_pos) for r in d.kept().where("batch_id IS NULL").collect()} == {(9, 0), (8, 1)}
+
+
+def test_lookup_reads_only_the_slots_of_late_copies(spark, folder, tmp_path):
+    batches = [batch(i, [i], 0, f"m{i}") for i in range(40)]
+    path = f"file://{tmp_path}/out"
+    for i, part in enumerate((batches, [batch(100, [1], 1000)], [batch(101, [2], 2000)], [batch(102, [3], 0, "m3")])):
+        write(spark, folder, part, str(i))
+        d = Deduplicator(spark, path, horizon="1 hour").run(folder)
+    slots = {p.name for p in (tmp_path / "out/ledger/outcome=kept").iterdir()}
+    late = {p.name for p in (tmp_path / "out/ledger/outcome=check").iterdir()}
+    assert len(slots) > 1 and len(late) == 1
+    files = d._rows("kept", [int(x[5:]) for x in late]).inputFiles()
+    assert files and all(f"/{x}/" in f for f in files for x in late)
+    assert result(d)[0] == {(102, 0)}
 
 
 def test_repeated_epoch_replaces_its_output(spark, folder, tmp_path):
     batches = make(3, 20)
     write(spark, folder, batches, "a")
     d = Deduplicator(spark, f"file://{tmp_path}/out").run(folder)
-    rows = spark.read.parquet(f"{d.path}/epoch=0/tracked")
+    rows = spark.read.parquet(f"{d.path}/ledger").where("epoch = 0 AND step = 0").withColumn("block", F.shiftright("pos", d.bits)).drop("slot", "epoch", "step")
     once = result(d)
     again = spark.createDataFrame(rows.collect(), rows.schema)
     d._resolve(again, 0)

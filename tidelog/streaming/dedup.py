@@ -3,33 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.functions.records import valid_batch
 from tidelog.functions.u64 import to_pos
-from tidelog.session import child_dirs, path_exists, shared_dir, stream_path
+from tidelog.operators.sizing import broadcast_if_small
+from tidelog.session import child_dirs, make_dir, shared_dir, stream_path
 
-BLOCK_BITS = 11
+BLOCK_BITS = 16
 HORIZON = "6 hours"
 BYTES_PER_TRIGGER = 512 << 20
+LATE_BROADCAST = 200_000
+PRUNED_BLOCKS = 200
+NO_BATCH_ID = 2**63 - 1
 
-OUTCOME = "master_id string, slave_id string, pos bigint, batch_id bigint, event_pos bigint, outcome string"
+NAME = ["master_id", "slave_id", "pos"]
+LEDGER = "master_id string, slave_id string, pos bigint, batch_id bigint, event_pos bigint"
+OUTCOME = LEDGER + ", block bigint, outcome string"
 STATE = "seen binary, expired boolean"
 
 
 def _first_copies(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows are (pos, batch, place). The least copy of each pos; the new ones among them; all copies that lost now."""
+    """Rows are (pos, batch, place). The least copy of each pos; the new ones among them; all copies that lost now.
+
+    A copy at the very place of another is that copy read again, not a second one.
+    """
     both = np.concatenate([held, new])
     fresh = np.arange(len(both)) >= len(held)
-    order = np.lexsort((both[:, 2], both[:, 1], both[:, 0]))
+    order = np.lexsort((fresh, both[:, 2], both[:, 1], both[:, 0]))
     both, fresh = both[order], fresh[order]
+    again = np.zeros(len(both), bool)
+    again[1:] = (both[1:] == both[:-1]).all(axis=1)
+    both, fresh = both[~again], fresh[~again]
     first = np.ones(len(both), bool)
     first[1:] = both[1:, 0] != both[:-1, 0]
+    # Of the copies held before, only the least is in the state; it was the kept one until now.
     return both[first], both[first & fresh], both[~first]
 
 
@@ -43,16 +57,18 @@ def _track(horizon_ms: int):
         held = np.frombuffer(seen, np.int64).reshape(-1, 3) if seen else np.zeros((0, 3), np.int64)
         parts, latest = [], 0
         for f in frames:
-            parts.append(f[["pos", "batch_id", "event_pos"]].to_numpy(np.int64))
-            latest = max(latest, int(f["at_ms"].max()))
+            parts.append(np.stack([f[c].to_numpy(np.int64) for c in ("pos", "batch_id", "event_pos")], axis=1))
+            latest = max(latest, int(f["at_ms"].to_numpy().max()))
         kept, new, lost = _first_copies(held, np.concatenate(parts))
         state.update((kept.tobytes(), bool(expired)))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + horizon_ms)
-        for rows, outcome in ((new, "check" if expired else "kept"), (lost, "surplus")):
-            if len(rows):
-                yield pd.DataFrame(
-                    {"master_id": key[0], "slave_id": key[1], "pos": rows[:, 0], "batch_id": rows[:, 1], "event_pos": rows[:, 2], "outcome": outcome}
-                )
+        rows = np.concatenate([new, lost])
+        if len(rows):
+            master, slave, block = key
+            outcome = np.repeat(np.array(["check" if expired else "kept", "surplus"], object), [len(new), len(lost)])
+            yield pd.DataFrame(
+                {"master_id": master, "slave_id": slave, "pos": rows[:, 0], "batch_id": rows[:, 1], "event_pos": rows[:, 2], "block": block, "outcome": outcome}
+            )
 
     return update
 
@@ -60,20 +76,25 @@ def _track(horizon_ms: int):
 class Deduplicator:
     """A stream of ``LogBatch`` messages, of whose events ``(master, slave, lsn)`` each is kept once.
 
-    Identifiers are held in the keyed state store, one state per 2^11 consecutive LSNs of a replica (so a busy
+    Identifiers are held in the keyed state store, one state per 2^16 consecutive LSNs of a replica (so a busy
     replica is spread and a state stays small), and expire by event-time watermark: a state goes when the
     watermark has passed its last event by ``horizon``, leaving a one-bit mark. Copies that come to an
     expired block, however late, are checked against the ledger of what was kept before; the stream's filter for
-    late rows is not used, so none is lost.
+    late rows is not used, so none is lost (``run`` fails if the engine ever reports one as dropped).
 
     Of all copies the one with the smallest ``(batch_id, event_pos)`` is the one kept, in whatever order files
     arrive: a smaller copy that comes later makes the earlier choice surplus. Every epoch writes its outcome to
-    its own folder, replacing what an interrupted attempt left, and the state's checkpoint follows; so output
+    its own folders, replacing what an interrupted attempt left, and the state's checkpoint follows; so output
     and state agree after any failure.
 
+    The ledger lies below ``ledger/outcome=.../slot=.../epoch=...``. A slot is a share of all (replica, block) pairs, the
+    same share that one task of the stream holds the states of, so a task writes one file per epoch and outcome. The
+    late lookup opens only the slots that late copies fall into, and skips row groups by ``pos``.
+
     Batches that are not valid, and events without an LSN in the unsigned 64-bit range, are left out. A null
     ``sent_at`` says nothing about time: such events take the watermark as it is. Null master or slave ids
-    identify like other values. An empty input keeps nothing.
+    identify like other values. A null ``batch_id`` counts as greater than all others. The same place of the same batch
+    read twice (a repeated row) is one copy. Extra columns are ignored. An empty input keeps nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, horizon: str = HORIZON, bits: int = BLOCK_BITS, files_per_trigger: int | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
@@ -82,47 +103,67 @@ class Deduplicator:
         # An epoch takes so much of the input; more at once saves commits, less bounds what a failure repeats.
         self.pace = {"maxFilesPerTrigger": str(files_per_trigger)} if files_per_trigger else {"maxBytesPerTrigger": str(bytes_per_trigger)}
         self.horizon_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
+        # How many slots and how wide a block: fixed by the first run, whatever the session says later.
+        found = [n.split("-") for n in child_dirs(spark, self.path) if n.startswith("slots-")]
+        if found:
+            self.slots, self.bits = int(found[0][1]), int(found[0][2])
+        else:
+            self.slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            make_dir(spark, f"{self.path}/slots-{self.slots}-{self.bits}")
+
+    def _slot(self) -> Column:
+        return F.pmod(F.hash("master_id", "slave_id", "block"), F.lit(self.slots)).alias("slot")
 
     def events(self, batches: DataFrame) -> DataFrame:
         good = batches.where(valid_batch(F.col("total"), F.col("events")))
         return good.select(
             "master_id",
             "slave_id",
-            "batch_id",
+            F.coalesce("batch_id", F.lit(NO_BATCH_ID)).alias("batch_id"),
             F.col("sent_at").cast("timestamp").alias("sent_at"),
             F.posexplode(F.transform("events", lambda e: to_pos(e["lsn"]))).alias("event_pos", "pos"),
         ).where("pos IS NOT NULL")
 
+    def _write(self, rows: DataFrame, number: int, step: int) -> None:
+        rows = rows.select("*", self._slot(), F.lit(number).alias("epoch"), F.lit(step).alias("step")).drop("block")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("outcome", "slot", "epoch", "step").parquet(f"{self.path}/ledger")
+
     def _resolve(self, epoch: DataFrame, number: int) -> None:
-        at = f"{self.path}/epoch={number}"
-        epoch.write.mode("overwrite").partitionBy("outcome").parquet(f"{at}/tracked")
-        name = ["master_id", "slave_id", "pos"]
-        done = f"{at}/resolved"
-        if not path_exists(self.spark, f"{at}/tracked/outcome=check"):
+        self._write(epoch, number, 0)
+        late = self._rows("check").where(F.col("epoch") == number)
+        slots = [r.slot for r in late.select("slot").distinct().collect()]
+        if not slots:
             return
-        late = self.spark.read.parquet(f"{at}/tracked/outcome=check")
-        known = self._rows("kept", range(number))
-        least = lambda df: df.groupBy(*name).agg(F.min(F.struct("batch_id", "event_pos")).alias("known"))
-        known = least(known.join(late.select(*name).distinct(), name, "left_semi"))
-        same = [late[c].eqNullSafe(known[c]) for c in name]
-        met = late.join(known, same, "left").select(*(late[c] for c in [*name, "batch_id", "event_pos"]), "known")
+        late = late.select(*NAME, "batch_id", "event_pos", F.shiftright("pos", self.bits).alias("block"))
+        blocks = [r.block for r in late.select("block").distinct().limit(PRUNED_BLOCKS + 1).collect()]
+        known = self._rows("kept", slots).where(F.col("epoch") < number)
+        if len(blocks) <= PRUNED_BLOCKS:
+            size = 1 << self.bits
+            known = known.where(reduce(Column.__or__, (F.col("pos").between(b * size, b * size + size - 1) for b in blocks)))
+        # Null ids are ids like others: every comparison here must be null-safe.
+        wanted = broadcast_if_small(late.select(*(F.col(c).alias(f"late_{c}") for c in NAME)).distinct(), LATE_BROADCAST)
+        known = known.join(wanted, [F.col(c).eqNullSafe(F.col(f"late_{c}")) for c in NAME], "left_semi")
+        known = known.groupBy(*NAME).agg(F.min(F.struct("batch_id", "event_pos")).alias("known"))
+        met = late.join(known, [late[c].eqNullSafe(known[c]) for c in NAME], "left").select(*(late[c] for c in [*NAME, "batch_id", "event_pos", "block"]), "known")
         mine = F.struct("batch_id", "event_pos")
         pick = lambda s, o: F.struct(s["batch_id"].alias("batch_id"), s["event_pos"].alias("event_pos"), F.lit(o).alias("outcome"))
         ruling = (
             F.when(F.col("known").isNull(), F.array(pick(mine, "kept")))
             .when(F.col("known") < mine, F.array(pick(mine, "surplus")))
-            .otherwise(F.array(pick(mine, "kept"), pick(F.col("known"), "surplus")))
+            .when(F.col("known") > mine, F.array(pick(mine, "kept"), pick(F.col("known"), "surplus")))
         )
-        met.select(*name, F.inline(ruling)).write.mode("overwrite").partitionBy("outcome").parquet(done)
-
-    def _rows(self, outcome: str, epochs=None) -> DataFrame:
-        """Rows of an outcome over the given epochs, by default all whose output is complete."""
-        schema = OUTCOME.rpartition(",")[0]
-        if epochs is None:
-            epochs = [int(n[6:]) for n in child_dirs(self.spark, self.path) if n.startswith("epoch=")]
-        places = [f"{self.path}/epoch={e}/{part}/outcome={outcome}" for e in epochs for part in ("tracked", "resolved")]
-        paths = [p for p in places if path_exists(self.spark, p)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        self._write(met.select(*NAME, "block", F.inline(ruling)), number, 1)
+
+    def _rows(self, outcome: str, slots: list[int] | None = None) -> DataFrame:
+        """Ledger rows of an outcome, ``(LEDGER, slot, epoch)``, of the given slots or of all."""
+        ledger = f"{self.path}/ledger"
+        schema = f"{LEDGER}, slot int, epoch int"
+        if f"outcome={outcome}" not in child_dirs(self.spark, ledger):
+            return self.spark.createDataFrame([], schema)
+        there = child_dirs(self.spark, at := f"{ledger}/outcome={outcome}")
+        paths = [at] if slots is None else [f"{at}/slot={s}" for s in slots if f"slot={s}" in there]
+        read = self.spark.read.schema(f"{schema}, outcome string, step int").option("basePath", ledger)
+        return read.parquet(*paths).drop("outcome", "step") if paths else self.spark.createDataFrame([], schema)
 
     def run(self, source: str) -> "Deduplicator":
         """Take in what is new at ``source`` (a Parquet file or folder of batches) and stop; call again for more."""
@@ -147,13 +188,22 @@ class Deduplicator:
             .start()
         )
         query.awaitTermination()
+        dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+        if dropped:
+            raise RuntimeError(f"the engine dropped {dropped} late rows, which must reach the state")
         return self
 
     def surplus(self) -> DataFrame:
         """``(master_id, slave_id, pos, batch_id, event_pos)`` of every copy but the first."""
-        return self._rows("surplus").distinct()
+        return self._given(self._rows("surplus").drop("slot", "epoch").distinct())
 
     def kept(self) -> DataFrame:
         """The one copy of each event, choices that a smaller copy overtook left out."""
-        place = ["batch_id", "event_pos"]
-        return self._rows("kept").join(self._rows("surplus").select(*place), place, "left_anti")
+        lost = self._rows("surplus").select("batch_id", "event_pos", *(F.col(c).alias(f"lost_{c}") for c in NAME))
+        kept = self._rows("kept").drop("slot", "epoch")
+        same = [kept["batch_id"] == lost["batch_id"], kept["event_pos"] == lost["event_pos"], *(kept[c].eqNullSafe(lost[f"lost_{c}"]) for c in NAME)]
+        return self._given(kept.join(lost, same, "left_anti"))
+
+    @staticmethod
+    def _given(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("batch_id", F.nullif("batch_id", F.lit(NO_BATCH_ID)))
