@@ -111,6 +111,13 @@ def test_repeated_rows_and_null_batch_ids(spark, folder):
     assert {(int(r.pos) + 2**63, r.event_pos) for r in d.kept().where("batch_id IS NULL").collect()} == {(9, 0), (8, 1)}
 
 
+def test_large_batches_over_many_blocks(spark, folder):
+    r = random.Random(8)
+    batches = [batch(i, [r.randrange(6000) for _ in range(2500)]) for i in range(4)]
+    write(spark, folder, batches, "a")
+    assert result(Deduplicator(spark, bits=8).run(folder)) == brute(batches)
+
+
 def test_lookup_reads_only_the_slots_of_late_copies(spark, folder, tmp_path):
     batches = [batch(i, [i], 0, f"m{i}") for i in range(40)]
     path = f"file://{tmp_path}/out"
@@ -132,7 +139,7 @@ def test_repeated_epoch_replaces_its_output(spark, folder, tmp_path):
     rows = spark.read.parquet(f"{d.path}/ledger").where("epoch = 0 AND step = 0").withColumn("block", F.shiftright("pos", d.bits)).drop("slot", "epoch", "step")
     once = result(d)
     again = spark.createDataFrame(rows.collect(), rows.schema)
-    d._resolve(again, 0)
+    d._settle(again, 0)
     assert result(d) == once == brute(batches)
 
 

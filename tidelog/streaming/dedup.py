@@ -22,10 +22,11 @@ BYTES_PER_TRIGGER = 512 << 20
 LATE_BROADCAST = 200_000
 PRUNED_BLOCKS = 200
 NO_BATCH_ID = 2**63 - 1
+CHUNK_EVENTS = 1024
 
 NAME = ["master_id", "slave_id", "pos"]
 LEDGER = "master_id string, slave_id string, pos bigint, batch_id bigint, event_pos bigint"
-OUTCOME = LEDGER + ", block bigint, outcome string"
+OUTCOME = "master_id string, slave_id string, block bigint, outcome string, pos array<bigint>, batch_id array<bigint>, event_pos array<bigint>"
 STATE = "seen binary, expired boolean"
 
 
@@ -57,18 +58,17 @@ def _track(horizon_ms: int):
         held = np.frombuffer(seen, np.int64).reshape(-1, 3) if seen else np.zeros((0, 3), np.int64)
         parts, latest = [], 0
         for f in frames:
-            parts.append(np.stack([f[c].to_numpy(np.int64) for c in ("pos", "batch_id", "event_pos")], axis=1))
+            sizes = [len(x) for x in f["pos"]]
+            parts.append(np.stack([np.concatenate(f["pos"].to_numpy()), np.repeat(f["batch_id"].to_numpy(np.int64), sizes), np.concatenate(f["event_pos"].to_numpy())], axis=1))
             latest = max(latest, int(f["at_ms"].to_numpy().max()))
         kept, new, lost = _first_copies(held, np.concatenate(parts))
         state.update((kept.tobytes(), bool(expired)))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + horizon_ms)
-        rows = np.concatenate([new, lost])
-        if len(rows):
+        outcomes = [(rows, o) for rows, o in ((new, "check" if expired else "kept"), (lost, "surplus")) if len(rows)]
+        if outcomes:
             master, slave, block = key
-            outcome = np.repeat(np.array(["check" if expired else "kept", "surplus"], object), [len(new), len(lost)])
-            yield pd.DataFrame(
-                {"master_id": master, "slave_id": slave, "pos": rows[:, 0], "batch_id": rows[:, 1], "event_pos": rows[:, 2], "block": block, "outcome": outcome}
-            )
+            columns = {c: [rows[:, i] for rows, _ in outcomes] for i, c in enumerate(("pos", "batch_id", "event_pos"))}
+            yield pd.DataFrame({"master_id": master, "slave_id": slave, "block": block, "outcome": [o for _, o in outcomes], **columns})
 
     return update
 
@@ -115,21 +115,32 @@ class Deduplicator:
         return F.pmod(F.hash("master_id", "slave_id", "block"), F.lit(self.slots)).alias("slot")
 
     def events(self, batches: DataFrame) -> DataFrame:
+        """Usable events, those of one batch and block packed into arrays: a batch is a row or two on its way to the state.
+
+        Of a batch with more than ``CHUNK_EVENTS`` events each so many are packed apart, so that no row grows large.
+        """
         good = batches.where(valid_batch(F.col("total"), F.col("events")))
-        return good.select(
-            "master_id",
-            "slave_id",
-            F.coalesce("batch_id", F.lit(NO_BATCH_ID)).alias("batch_id"),
-            F.col("sent_at").cast("timestamp").alias("sent_at"),
-            F.posexplode(F.transform("events", lambda e: to_pos(e["lsn"]))).alias("event_pos", "pos"),
-        ).where("pos IS NOT NULL")
+        chunks = good.select(
+            "master_id", "slave_id", F.coalesce("batch_id", F.lit(NO_BATCH_ID)).alias("batch_id"), F.col("sent_at").cast("timestamp").alias("sent_at"), "events",
+            F.explode(F.sequence(F.lit(0), F.size("events") - 1, F.lit(CHUNK_EVENTS))).alias("start"),
+        )
+        place = lambda e, i: F.struct(to_pos(e["lsn"]).alias("pos"), (i + F.col("start")).cast("bigint").alias("event_pos"))
+        placed = F.filter(F.transform(F.slice("events", F.col("start") + 1, CHUNK_EVENTS), place), lambda e: e["pos"].isNotNull())
+        placed = chunks.select("master_id", "slave_id", "batch_id", "sent_at", placed.alias("e"))
+        block = lambda e: F.shiftright(e["pos"], self.bits)
+        split = placed.select("*", F.explode(F.array_distinct(F.transform("e", block))).alias("block"))
+        mine = split.select("master_id", "slave_id", "batch_id", "sent_at", "block", F.filter("e", lambda e: block(e) == F.col("block")).alias("e"))
+        return mine.select("master_id", "slave_id", "batch_id", "sent_at", "block", F.col("e.pos").alias("pos"), F.col("e.event_pos").alias("event_pos"))
 
     def _write(self, rows: DataFrame, number: int, step: int) -> None:
         rows = rows.select("*", self._slot(), F.lit(number).alias("epoch"), F.lit(step).alias("step")).drop("block")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("outcome", "slot", "epoch", "step").parquet(f"{self.path}/ledger")
 
     def _resolve(self, epoch: DataFrame, number: int) -> None:
-        self._write(epoch, number, 0)
+        self._settle(epoch.select("master_id", "slave_id", "block", "outcome", F.inline(F.arrays_zip("pos", "batch_id", "event_pos"))), number)
+
+    def _settle(self, outcomes: DataFrame, number: int) -> None:
+        self._write(outcomes, number, 0)
         late = self._rows("check").where(F.col("epoch") == number)
         slots = [r.slot for r in late.select("slot").distinct().collect()]
         if not slots:
@@ -173,8 +184,7 @@ class Deduplicator:
         # Late rows must reach the state. The watermark has seen the true event times above; below, the column that
         # carries its mark is null, which the filter for late rows lets pass, and the time goes on as a number.
         rows = rows.select(
-            "master_id", "slave_id", "batch_id", F.col("event_pos").cast("bigint").alias("event_pos"), "pos",
-            F.shiftright("pos", self.bits).alias("block"),
+            "master_id", "slave_id", "batch_id", "event_pos", "pos", "block",
             F.coalesce(F.unix_millis("sent_at"), F.lit(0)).alias("at_ms"),
             F.lit(None).cast("timestamp").alias("clock", metadata={"spark.watermarkDelayMs": 0}),
         )
