@@ -86,3 +86,40 @@ def test_ledger_skips_and_repeats_nothing(spark, tmp_path):
     assert ledger.run(log(1, 2, 3, 4, 5), consumers) == 2
     assert rows(2) == []
     assert covered(ledger.intervals())["m", "a"] == {1, 2, 3, 4, 5}
+
+
+def test_ledger_writes_only_touched_blocks_and_compacts(spark, tmp_path):
+    ledger = IntervalLedger(spark, f"file://{tmp_path}/ledger", compact_every=2)
+    consumers = spark.createDataFrame([("m", "a", None)], CONSUMERS)
+    seen = set()
+    for run in range(6):
+        ps = [run * 5000 + 1, run * 5000 + 2, 7000 + run]
+        seen |= set(ps)
+        assert ledger.run(spark.createDataFrame([("m", p, "") for p in ps], AVAILABLE), consumers) == run
+        assert covered(ledger.intervals()) == {("m", "a"): seen}
+    blocks = lambda run: {r.block for r in spark.read.parquet(f"{ledger.path}/runs/{ledger._commits()[run]['run']}/intervals").collect()}
+    assert blocks(5) == {7005 >> 12, 25001 >> 12} and len(blocks(4)) > 3
+    assert {r.pos for n in range(6) for r in ledger.output(n).collect()} == seen
+
+
+def test_of_two_drivers_one_is_void_and_leftovers_go(spark, tmp_path):
+    one, two = (IntervalLedger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    consumers = spark.createDataFrame([("m", "a", None)], CONSUMERS)
+    log = spark.createDataFrame([("m", 1, ""), ("m", 2, "")], AVAILABLE)
+
+    def meanwhile(df):
+        two.run(log, consumers)
+        return df
+
+    with pytest.raises(RuntimeError, match="another driver"):
+        one.run(log, consumers, meanwhile)
+    assert sorted(r.pos for r in two.output(0).collect()) == [1, 2]
+    assert one.run(log, consumers) == 1 and one.output(1).count() == 0
+    assert one.vacuum() == 1 and sorted(r.pos for r in one.output(0).collect()) == [1, 2]
+
+
+def test_positions_processed_elsewhere(spark, tmp_path):
+    ledger = IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.mark(spark.createDataFrame([("m", "a", 2), ("m", "a", None), (None, None, 3)], "master_id string, slave_id string, pos bigint"))
+    ledger.run(spark.createDataFrame([("m", 1, ""), ("m", 2, "")], AVAILABLE), spark.createDataFrame([("m", "a", None)], CONSUMERS))
+    assert [r.pos for r in ledger.output().collect()] == [1]

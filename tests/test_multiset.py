@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidelog.operators.multiset import apply_changes
+from tidelog.operators.multiset import apply_changes, heavy_buckets
 
 SCHEMA = "m string, key binary, pos bigint, command int, value binary, extra string"
 
@@ -50,6 +50,16 @@ def test_hot_key_over_many_runs(spark):
     assert run(spark, rows, run_rows=50) == replay(rows)
 
 
+def test_only_heavy_keys_are_dealt_to_runs(spark):
+    rows = feed(5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    bucket, heavy = heavy_buckets(df, ["m", "key"], len(rows), 100)
+    got = {bytes(r.key) for r in df.where(bucket.isin(*heavy)).select("key").distinct().collect()}
+    assert got == {b"hot"}
+    text = apply_changes(df, ["m", "key"], "pos", F.col("command") == 3, n_rows=len(rows))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def test_base_rows_are_kept_replaced_or_deleted(spark):
     rows = feed(3)
     base = [("a", b"hot", b"old"), ("a", b"untouched", b"stays"), ("b", b"k1", b"old"), ("b", b"k99", b"stays")]

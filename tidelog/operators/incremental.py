@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.session import child_dirs, delete_path, path_exists
+from tidelog.operators.sizing import broadcast_if_small
+from tidelog.session import child_dirs, child_files, create_text, delete_path, read_text
 
 BLOCK_BITS = 12
-SALTS = 16
+COMPACT_EVERY = 16
+BLOCKS_BROADCAST = 100_000
 
 
 def block_of(pos: Column, bits: int = BLOCK_BITS) -> Column:
@@ -50,7 +55,7 @@ def unprocessed(
     source: str = "master_id",
     consumer: str = "slave_id",
     bits: int = BLOCK_BITS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """What each consumer still lacks of its source: ``(source, consumer, pos)``, each once.
 
@@ -59,12 +64,13 @@ def unprocessed(
     (source, consumer, block, lo, hi) as of ``to_intervals``, which late commits may leave holes in.
 
     Available positions are grouped to blocks once and shuffled once, not once per consumer: consumers first meet
-    the list of blocks (salted, as one source may own most of them), then their intervals, and the block's
+    the list of blocks (salted by as many numbers as the session has shuffle partitions, as one source may own most of them), then their intervals, and the block's
     positions join last. Within a block the intervals are expanded and subtracted as a set, in linear time.
 
     A null source or consumer matches nothing; null positions are ignored; a consumer of a source without records
     lacks nothing; extra columns are ignored.
     """
+    salts = salts or max(16, int(available.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = (
         available.where(F.col("pos").isNotNull() & F.col(source).isNotNull())
         .select(source, F.col("pos"), block_of(F.col("pos"), bits).alias("block"))
@@ -85,42 +91,95 @@ def unprocessed(
 
 
 class IntervalLedger:
-    """Committed runs in a shared folder: each holds its output and the intervals processed so far.
+    """Committed runs in a shared folder: each holds its output and the intervals it has changed.
 
-    A run is visible from the moment its marker is there, which is written last; output and intervals appear
-    together or not at all. What a failed run left behind is deleted by the next one, which gets the same number.
+    A run works in a folder of its own and counts from the moment its commit file is there, which is written last and
+    only if nobody else has committed that number: output and intervals appear together or not at all, a failed run leaves
+    only a folder that nothing refers to (``vacuum``), and of two drivers at once one is told that it came too late.
+
+    A run writes the intervals of the blocks it has touched, not those of all history; the latest run that wrote a block
+    holds its intervals. Every ``compact_every`` runs all are written together, so that never more files than that are read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, scope: Sequence[str] = ("master_id", "slave_id")):
-        self.spark, self.path, self.scope = spark, path.rstrip("/"), list(scope)
+    def __init__(self, spark: SparkSession, path: str, scope: Sequence[str] = ("master_id", "slave_id"), compact_every: int = COMPACT_EVERY):
+        self.spark, self.path, self.scope, self.compact_every = spark, path.rstrip("/"), list(scope), compact_every
 
-    def last(self) -> int:
-        runs = [int(n[4:]) for n in child_dirs(self.spark, self.path) if n.startswith("run=")]
-        return max((r for r in runs if path_exists(self.spark, f"{self.path}/run={r}/_COMMITTED")), default=-1)
+    def _commits(self) -> dict[int, dict]:
+        """Run number -> its folder and the run from which intervals have to be read."""
+        out = {}
+        for name in child_files(self.spark, f"{self.path}/commits"):
+            text = read_text(self.spark, f"{self.path}/commits/{name}")
+            if name.isdigit() and text.endswith("}"):
+                out[int(name)] = json.loads(text)
+        return out
 
-    def intervals(self) -> DataFrame:
-        if (run := self.last()) < 0:
+    def last(self) -> int:
+        """The number of the last committed run, -1 before the first."""
+        return max(self._commits(), default=-1)
+
+    def intervals(self, commits: dict[int, dict] | None = None) -> DataFrame:
+        """All processed positions as intervals ``(*scope, block, lo, hi)``."""
+        commits = self._commits() if commits is None else commits
+        part = [*self.scope, "block"]
+        if not commits:
             fields = ", ".join(f"{c} STRING" for c in self.scope)
             return self.spark.createDataFrame([], f"{fields}, block BIGINT, lo BIGINT, hi BIGINT")
-        return self.spark.read.parquet(f"{self.path}/run={run}/intervals")
+        last = max(commits)
+        read = [self.spark.read.parquet(f"{self.path}/runs/{commits[r]['run']}/intervals").withColumn("run", F.lit(r)) for r in range(commits[last]["since"], last + 1)]
+        if len(read) == 1:
+            return read[0].select(*part, "lo", "hi")
+        rows = reduce(DataFrame.unionByName, read).groupBy(*part, "run").agg(F.collect_list(F.struct("lo", "hi")).alias("i"))
+        return rows.groupBy(*part).agg(F.max_by("i", "run").alias("i")).select(*part, F.inline("i"))
 
     def output(self, run: int | None = None) -> DataFrame:
         """The rows of one committed run, by default the last."""
-        return self.spark.read.parquet(f"{self.path}/run={self.last() if run is None else run}/output")
+        commits = self._commits()
+        return self.spark.read.parquet(f"{self.path}/runs/{commits[max(commits) if run is None else run]['run']}/output")
+
+    def mark(self, points: DataFrame) -> int:
+        """Commit positions ``(*scope, pos)`` that have been processed elsewhere; their output is empty."""
+        return self._commit(points.select(*self.scope, "pos"), lambda df: df.where(F.lit(False)), self._commits())
 
     def run(self, available: DataFrame, consumers: DataFrame, work=lambda df: df) -> int:
         """Process what each consumer lacks, commit it with the merged intervals, and give the run's number."""
-        number = self.last() + 1
-        at = f"{self.path}/run={number}"
-        delete_path(self.spark, at)
-        before = self.intervals()
+        commits = self._commits()
         source, consumer = self.scope
-        unprocessed(available, consumers, before, source, consumer).write.parquet(f"{at}/positions")
+        here = available.where("pos IS NOT NULL").select(source, block_of(F.col("pos")).alias("block")).distinct()
+        before = self.intervals(commits).join(broadcast_if_small(here, BLOCKS_BROADCAST), [source, "block"], "left_semi")
+        return self._commit(unprocessed(available, consumers, before, source, consumer), work, commits)
+
+    def _commit(self, positions: DataFrame, work, commits: dict[int, dict]) -> int:
+        number, name = max(commits, default=-1) + 1, uuid.uuid4().hex
+        at, part = f"{self.path}/runs/{name}", [*self.scope, "block"]
+        positions.write.parquet(f"{at}/positions")
         new = self.spark.read.parquet(f"{at}/positions")
         work(new).write.parquet(f"{at}/output")
-        merged = merge_intervals(before.unionByName(to_intervals(new, self.scope)), self.scope)
-        merged.write.parquet(f"{at}/intervals")
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{at}/_COMMITTED")
-        marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(marker, False).close()
+        fresh, before = to_intervals(new, self.scope), self.intervals(commits)
+        since = commits[max(commits)]["since"] if commits else number
+        if number - since >= self.compact_every:
+            since = number
+        if since < number:
+            touched = new.select(*self.scope, block_of(F.col("pos")).alias("block")).distinct()
+            touched = broadcast_if_small(touched.select(*(F.col(c).alias(f"t_{c}") for c in part)), BLOCKS_BROADCAST)
+            before = before.join(touched, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in part], "left_semi")
+        merge_intervals(before.unionByName(fresh), self.scope).write.parquet(f"{at}/intervals")
+        try:
+            create_text(self.spark, f"{self.path}/commits/{number}", json.dumps({"run": name, "since": since}))
+        except FileExistsError:
+            raise RuntimeError(f"run {number} has been committed by another driver meanwhile; what it processed is left alone, this run is void") from None
         return number
+
+    def vacuum(self) -> int:
+        """Delete what failed runs left behind, and the work files of runs whose intervals are no longer read; outputs stay.
+        Only while no run is under way."""
+        commits, gone = self._commits(), 0
+        used = {c["run"]: n for n, c in commits.items()}
+        since = commits[max(commits)]["since"] if commits else 0
+        for name in child_dirs(self.spark, f"{self.path}/runs"):
+            if name not in used:
+                delete_path(self.spark, f"{self.path}/runs/{name}")
+                gone += 1
+            elif used[name] < since:
+                for part in ("positions", "intervals"):
+                    delete_path(self.spark, f"{self.path}/runs/{name}/{part}")
+        return gone

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.errors import ConnectionFailed
 from tidelog.functions.records import handshakes, log_changes, valid_batch
 from tidelog.functions.u64 import pos_to_bigint, to_pos
 from tidelog.operators.eager import eager_join_aggregate
-from tidelog.operators.incremental import to_intervals, unprocessed
+from tidelog.operators.incremental import IntervalLedger, to_intervals, unprocessed
 from tidelog.operators.multiset import apply_changes
 from tidelog.operators.reconcile import compare_copies
 from tidelog.operators.sizing import broadcast_if_small
 from tidelog.schema import DEL, SET
+from tidelog.session import shared_dir
 from tidelog.streaming.dedup import Deduplicator
 
 MASTERS_BROADCAST = 10_000
@@ -40,6 +42,15 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return s.select("master_id", F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), pos_to_bigint(F.col("pos")).alias("lsn"))
 
 
+def p1_with_base(spark: SparkSession, d: str) -> DataFrame:
+    """A replica's tables, as its own log left them, brought up to date by the masters' logs; rows the masters never touched stay, without LSN."""
+    replica = table(spark, d, "replica_log")
+    held = apply_changes(log_changes(replica), ["master_id", "key"], "pos", F.col("command") == DEL, ["value"], n_rows=replica.count())
+    log = table(spark, d, "wal_log")
+    s = apply_changes(log_changes(log), ["master_id", "key"], "pos", F.col("command") == DEL, ["value"], base=held, n_rows=log.count())
+    return s.select("master_id", F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), pos_to_bigint(F.col("pos")).alias("lsn"))
+
+
 def _dedup(spark: SparkSession, d: str) -> Deduplicator:
     return Deduplicator(spark).run(f"{d}/repl_batches.parquet")
 
@@ -75,6 +86,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lacking.select("master_id", "slave_id", pos_to_bigint(F.col("pos")).alias("lsn"))
 
 
+def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What each replica lacks, shipped in two committed runs with a failed one between: first the SETs, then all that is left.
+
+    The deletes are late commits, below and between what the first run has processed. No record is shipped twice or left out.
+    """
+    ledger = IntervalLedger(spark, shared_dir(spark, "ledger"))
+    log = log_changes(table(spark, d, "wal_log"))
+    consumers = replica_positions(table(spark, d, "sync_messages"))
+
+    def lost(rows: DataFrame) -> DataFrame:
+        raise ConnectionFailed("the replica went away")
+
+    ledger.mark(acknowledged(table(spark, d, "repl_batches")))
+    first = ledger.run(log.where(F.col("command") == SET), consumers)
+    try:
+        ledger.run(log, consumers, lost)
+    except ConnectionFailed:
+        pass
+    second = ledger.run(log, consumers)
+    shipped = ledger.output(first).withColumn("run", F.lit(1)).unionByName(ledger.output(second).withColumn("run", F.lit(2)))
+    return shipped.select("master_id", "slave_id", pos_to_bigint(F.col("pos")).alias("lsn"), "run")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys on at least 1 % of all rows: those whose rows, joined with all rows of the same key, make at least (rows / 100)^2 pairs.
 
@@ -111,7 +145,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("master_id", pos_to_bigint(F.col("pos")).alias("lsn"), "diff")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_kept, p3_found, p5_found, p5_replica_pairs, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_with_base, p2_found, p2_kept, p3_found, p3_ledger, p5_found, p5_replica_pairs, p6_found)}
 
 _APPLICABLE = """lsn IS NOT NULL AND ((command = 1 AND len(arguments) = 2 AND octet_length(arguments[1]) > 0 AND octet_length(arguments[2]) > 0)
  OR (command = 3 AND len(arguments) = 1 AND octet_length(arguments[1]) > 0))"""
@@ -126,12 +160,7 @@ _COPIES = f"""SELECT *, row_number() OVER (PARTITION BY master_id, slave_id, lsn
   SELECT master_id, slave_id, batch_id, unnest(events) AS e, CAST(unnest(range(len(events))) AS BIGINT) AS event_pos
   FROM repl_batches WHERE {_VALID})) WHERE lsn IS NOT NULL"""
 
-SQL = {
-    "p1_found": f"SELECT master_id, hex(arguments[1]) AS key_hex, lsn FROM ({_LIVE})",
-    "p1_state": f"SELECT master_id, hex(arguments[1]) AS key_hex, hex(arguments[2]) AS value_hex, lsn FROM ({_LIVE})",
-    "p2_found": f"SELECT batch_id, event_pos FROM ({_COPIES}) WHERE copy > 1",
-    "p2_kept": f"SELECT master_id, slave_id, CAST(lsn AS BIGINT) AS lsn, batch_id, event_pos FROM ({_COPIES}) WHERE copy = 1",
-    "p3_found": f"""WITH j AS (
+_LACKING = f"""WITH j AS (
   SELECT master_id, CASE WHEN json_valid(message) THEN message END AS m, reply AS r0, CASE WHEN json_valid(reply) THEN reply END AS r FROM sync_messages),
  accepted AS (
   SELECT master_id, json_extract_string(m, '$.slave_id') AS slave_id, TRY_CAST(json_extract_string(m, '$.last_lsn') AS DECIMAL(38,0)) AS last_lsn
@@ -144,10 +173,22 @@ SQL = {
  acked AS (
   SELECT DISTINCT master_id, slave_id, e.lsn AS lsn FROM (
    SELECT master_id, slave_id, unnest(events) AS e FROM repl_batches WHERE reply = 'OK' AND {_VALID})),
- log AS (SELECT DISTINCT master_id, lsn FROM wal_log WHERE {_APPLICABLE})
-SELECT l.master_id, s.slave_id, CAST(l.lsn AS BIGINT) AS lsn FROM log l JOIN replicas s USING (master_id)
+ log AS (SELECT DISTINCT master_id, lsn, command FROM wal_log WHERE {_APPLICABLE})
+SELECT l.master_id, s.slave_id, CAST(l.lsn AS BIGINT) AS lsn, CASE l.command WHEN 1 THEN 1 ELSE 2 END AS run FROM log l JOIN replicas s USING (master_id)
 WHERE (s.position IS NULL OR l.lsn > s.position)
- AND NOT EXISTS (SELECT 1 FROM acked a WHERE a.master_id = l.master_id AND a.slave_id = s.slave_id AND a.lsn = l.lsn)""",
+ AND NOT EXISTS (SELECT 1 FROM acked a WHERE a.master_id = l.master_id AND a.slave_id = s.slave_id AND a.lsn = l.lsn)"""
+
+SQL = {
+    "p1_found": f"SELECT master_id, hex(arguments[1]) AS key_hex, lsn FROM ({_LIVE})",
+    "p1_state": f"SELECT master_id, hex(arguments[1]) AS key_hex, hex(arguments[2]) AS value_hex, lsn FROM ({_LIVE})",
+    "p1_with_base": f"""WITH live AS ({_LIVE}), base AS ({_LIVE.replace("FROM wal_log", "FROM replica_log")})
+SELECT master_id, hex(arguments[1]) AS key_hex, hex(arguments[2]) AS value_hex, lsn FROM live
+UNION ALL SELECT master_id, hex(arguments[1]), hex(arguments[2]), NULL FROM base b
+ WHERE NOT EXISTS (SELECT 1 FROM wal_log w WHERE w.master_id = b.master_id AND w.arguments[1] = b.arguments[1] AND {_APPLICABLE.replace("lsn", "w.lsn").replace("command", "w.command").replace("arguments", "w.arguments")})""",
+    "p2_found": f"SELECT batch_id, event_pos FROM ({_COPIES}) WHERE copy > 1",
+    "p2_kept": f"SELECT master_id, slave_id, CAST(lsn AS BIGINT) AS lsn, batch_id, event_pos FROM ({_COPIES}) WHERE copy = 1",
+    "p3_found": f"SELECT master_id, slave_id, lsn FROM ({_LACKING})",
+    "p3_ledger": _LACKING,
     "p5_found": """SELECT hex(arguments[1]) AS key_hex FROM wal_log WHERE arguments[1] IS NOT NULL GROUP BY 1
 HAVING count(*) * 100 >= (SELECT count(*) FROM wal_log)""",
     "p5_replica_pairs": """WITH l AS (SELECT master_id, hex(arguments[1]) AS k, count(*) AS n, count(*) FILTER (command = 1) AS s FROM wal_log WHERE arguments[1] IS NOT NULL GROUP BY ALL),

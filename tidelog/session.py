@@ -70,14 +70,48 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def child_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders directly below ``path`` (none if it does not exist)."""
+def _children(spark: SparkSession, path: str, dirs: bool) -> list[str]:
     if not path_exists(spark, path):
         return []
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    return sorted(s.getPath().getName() for s in found if s.isDirectory())
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() == dirs)
+
+
+def child_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path`` (none if it does not exist)."""
+    return _children(spark, path, True)
+
+
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below ``path`` (none if it does not exist)."""
+    return _children(spark, path, False)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not exist yet."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            raise FileExistsError(path) from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def stream_path(spark: SparkSession, path: str) -> str:
