@@ -51,3 +51,15 @@ def test_states_of_great_values_and_floats(spark):
     assert s["a"]["__s_v"] == 2 * (2**63 - 1) and s["a"]["__s_f"] == 0.75 and s[None]["__s_v"] is None
     out = {r.k: r for r in eager_join_aggregate(df, df, ["k"], ["k"], {"f": F.col("f")}, {"g": F.col("f")}).collect()}
     assert (out["a"].n, out["a"].f, out["a"].g) == (4, 1.5, 1.5) and (out[None].n, out[None].f) == (1, None)
+
+
+def test_without_null_keys_the_join_needs_no_exchange(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("a", 3)], "k string, v int")
+    out = eager_join_aggregate(df, df, ["k"], ["k"], null_keys=False)
+    assert [(r.k, r.n) for r in out.collect()] == [("a", 4)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = eager_join_aggregate(df, df, ["k"], ["k"], null_keys=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 2

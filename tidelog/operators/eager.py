@@ -38,6 +38,7 @@ def eager_join_aggregate(
     left_sums: dict[str, Column] | None = None,
     right_sums: dict[str, Column] | None = None,
     left_max: dict[str, Column] | None = None,
+    null_keys: bool = True,
 ) -> DataFrame:
     """``SELECT by, count(*), sums FROM left JOIN right USING (on) GROUP BY by`` without ever building the join.
 
@@ -51,7 +52,8 @@ def eager_join_aggregate(
 
     Result: ``(*by, n, *left_sums, *right_sums, *left_max)``. ``n`` is DECIMAL(38,0), as the pairs of one key soon pass
     2^63; so are sums of integers. What passes 38 digits is null. Join keys that are null match each other, as rows
-    would otherwise get lost from per-key results; null group keys form a group; null values add nothing to sums;
+    would otherwise get lost from per-key results; ``null_keys=False`` says that there are none to be matched (they are
+    dropped), and the join then works on the states' own partitioning, without an exchange of its own; null group keys form a group; null values add nothing to sums;
     an empty side gives an empty result. Columns of the two sides may have clashing names: only those named
     in the arguments are looked at, each on its own side.
     """
@@ -59,7 +61,7 @@ def eager_join_aggregate(
     group = [c for c in by if c not in on]
     l = key_states(left, [*on, *group], left_sums, left_max)
     r = key_states(right, on, right_sums)
-    return roll_up(l, r, on, by, list(left_sums or {}), list(right_sums or {}), list(left_max or {}))
+    return roll_up(l, r, on, by, list(left_sums or {}), list(right_sums or {}), list(left_max or {}), null_keys)
 
 
 def key_states(df: DataFrame, keys: Sequence[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
@@ -71,10 +73,10 @@ def key_states(df: DataFrame, keys: Sequence[str], sums: dict[str, Column] | Non
     )
 
 
-def roll_up(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str], left_sums: Sequence[str] = (), right_sums: Sequence[str] = (), left_max: Sequence[str] = ()) -> DataFrame:
+def roll_up(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str], left_sums: Sequence[str] = (), right_sums: Sequence[str] = (), left_max: Sequence[str] = (), null_keys: bool = True) -> DataFrame:
     """Joined states of two sides, multiplied and summed per ``by``."""
     r = right.select(*(F.col(c).alias(f"__on_{c}") for c in on), F.col("__n").alias("__nr"), *(F.col(f"__s_{k}").alias(f"__r_{k}") for k in right_sums))
-    joined = left.join(r, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on])
+    joined = left.join(r, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) if null_keys else F.col(c) == F.col(f"__on_{c}") for c in on])
     return joined.groupBy(*by).agg(
         F.try_sum(F.try_multiply(F.col("__n").cast(_COUNT), F.col("__nr").cast(_COUNT))).alias("n"),
         *(_times(joined, f"__s_{k}", "__nr").alias(k) for k in left_sums),

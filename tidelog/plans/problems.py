@@ -118,7 +118,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "wal_log")
     keys = log.select(F.get("arguments", F.lit(0)).alias("key")).where("key IS NOT NULL")
     total = F.lit(log.count()).cast("decimal(19,0)")
-    pairs = eager_join_aggregate(keys, keys, ["key"], ["key"])
+    pairs = eager_join_aggregate(keys, keys, ["key"], ["key"], null_keys=False)
     return pairs.where(F.col("n") * 10000 >= total * total).select(F.hex("key").alias("key_hex"))
 
 
@@ -130,7 +130,7 @@ def p5_replica_pairs(spark: SparkSession, d: str) -> DataFrame:
     sides = [table(spark, d, t).select("master_id", F.get("arguments", F.lit(0)).alias("key"), "command").where("key IS NOT NULL") for t in ("wal_log", "replica_log")]
     out = eager_join_aggregate(
         *sides, ["master_id", "key"], ["key"],
-        left_sums={"left_sets": F.when(F.col("command") == SET, 1).otherwise(0)}, right_sums={"right_sets": F.when(F.col("command") == SET, 1).otherwise(0)},
+        left_sums={"left_sets": F.when(F.col("command") == SET, 1).otherwise(0)}, right_sums={"right_sets": F.when(F.col("command") == SET, 1).otherwise(0)}, null_keys=False,
     )
     return out.select(F.hex("key").alias("key_hex"), *(F.col(c).cast("bigint").alias(n) for c, n in (("n", "pairs"), ("left_sets", "left_sets"), ("right_sets", "right_sets"))))
 
