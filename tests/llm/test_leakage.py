@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidelog.llm.leakage import greedy_tiles, leaked_items, leaked_tiles, window_hashes, word_finder, word_number
+from tidelog.llm.leakage import ItemIndex, leaked_items, leaked_tiles, window_hashes, word_finder, word_number
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string", "item_id bigint, text string, doc_id string"
 
@@ -60,25 +60,51 @@ def make(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_pairs_both_ways(spark, seed):
+def test_pairs_in_one_block_and_in_many(spark, seed):
     docs, items = make(seed)
     d = spark.createDataFrame([(*x, "clash") for x in docs], DOCS).repartition(3)
     i = spark.createDataFrame([(*x, "clash") for x in items], ITEMS)
-    for windows in (10**6, 0):
-        got = [(r.doc_id, r.item_id) for r in leaked_items(d, i, local_windows=windows).collect()]
+    for windows in (10**6, 150):
+        got = [(r.doc_id, r.item_id) for r in leaked_items(d, i, block_windows=windows).collect()]
         assert len(got) == len(set(got))
         assert set(got) == brute_pairs(docs, items, 10)
-    here, there = (sorted(map(tuple, leaked_tiles(d, i, local_windows=n).collect())) for n in (10**6, 0))
+    here, there = (sorted(map(tuple, leaked_tiles(d, i, block_windows=n).collect())) for n in (10**6, 150))
     assert here == there
 
 
 def test_tiles_are_greedy():
     r = random.Random(3)
-    for _ in range(150):
-        doc, item = ([r.choice("abcd") for _ in range(r.randrange(1, 30))] for _ in range(2))
+    for _ in range(300):
+        doc, item = ([r.choice("abcd"[: r.choice([1, 2, 4])]) for _ in range(r.randrange(1, 30))] for _ in range(2))
+        doc = [x if r.random() < 0.95 else "other" for x in doc]
         w = r.choice([2, 3, 4])
-        pairs = [(i, j) for i in range(len(doc) - w + 1) for j in range(len(item) - w + 1) if doc[i : i + w] == item[j : j + w]]
-        assert greedy_tiles(pairs, w) == brute_tiles(doc, item, w)
+        got = [t[2:5] for t in ItemIndex([(9, item)], w).tiles([(1, doc)])]
+        assert got == brute_tiles(doc, item, w)
+
+
+def test_repeated_words_take_bounded_time():
+    import time
+
+    began = time.time()
+    item, page = ["la"] * 400, ["la"] * 200_000
+    assert [t[2:] for t in ItemIndex([(1, item)], 10).tiles([(1, page)])] == [(0, 0, 400, 400)]
+    song = "one two three four five six seven eight nine ten eleven twelve".split()
+    item, page = song * 60, (song * 30 + ["other"]) * 500
+    tiles = list(ItemIndex([(1, item)], 10).tiles([(1, page)]))
+    assert sum(t[4] for t in tiles) == len(item)
+    verses = [f"x{i}" for i in range(400)]
+    item, page = [y for v in verses[:100] for y in (*song, v)], [y for v in verses[100:] * 20 for y in (*song, v)]
+    tiles = list(ItemIndex([(1, item)], 10).tiles([(1, page)]))
+    assert len(tiles) == 100 and {t[4] for t in tiles} == {12}
+    assert time.time() - began < 30
+
+
+def test_texts_of_documents_are_not_exchanged(spark):
+    d = spark.createDataFrame([(1, "a " * 30, "")], DOCS)
+    i = spark.createDataFrame([(k, f"w{k} " * 30, "") for k in range(40)], ITEMS)
+    for windows in (10**6, 100):
+        text = leaked_items(d, i, block_windows=windows)._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in text.splitlines() if "Exchange" in line and "text" in line]
 
 
 def test_reordered_passages_are_covered(spark):
@@ -92,8 +118,8 @@ def test_nine_words_are_not_enough_and_windows_do_not_cross_documents(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = [(1, " ".join(f"w{i}" for i in range(9)), ""), (2, " ".join(f"w{i}" for i in range(9, 18)), ""), (3, "W0. w1! w2_w3-w4\nw5;w6 w7 w8 w9", "")]
     d = spark.createDataFrame(docs, DOCS).coalesce(1)
-    for windows in (10**6, 0):
-        got = leaked_items(d, spark.createDataFrame([(7, item, "")], ITEMS), local_windows=windows).collect()
+    for windows in (10**6, 150):
+        got = leaked_items(d, spark.createDataFrame([(7, item, "")], ITEMS), block_windows=windows).collect()
         assert [(r.doc_id, r.longest) for r in got] == [(3, 10)]
 
 
@@ -101,17 +127,17 @@ def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(12))
     d = spark.createDataFrame([(1, text, ""), (1, text, ""), (None, text, ""), (2, None, "")], DOCS)
     i = spark.createDataFrame([(7, text, ""), (7, text, ""), (7, "other words", ""), (None, text, "")], ITEMS)
-    for windows in (10**6, 0):
-        got = leaked_items(d, i, local_windows=windows).collect()
+    for windows in (10**6, 150):
+        got = leaked_items(d, i, block_windows=windows).collect()
         assert [(r.doc_id, r.item_id, r.tiles, r.coverage) for r in got] == [(1, 7, 1, 1.0)]
 
 
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     one = spark.createDataFrame([(1, "a " * 30, "")], ITEMS)
-    for windows in (10**6, -1):
-        assert leaked_items(d, one, local_windows=windows).count() == 0
-        assert leaked_items(one.select("item_id", "text").withColumnRenamed("item_id", "doc_id"), i, local_windows=windows).count() == 0
+    for windows in (10**6, 5):
+        assert leaked_items(d, one, block_windows=windows).count() == 0
+        assert leaked_items(one.select("item_id", "text").withColumnRenamed("item_id", "doc_id"), i, block_windows=windows).count() == 0
 
 
 def test_running_hash_equals_itself_anywhere():

@@ -48,7 +48,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of which tiles cover at least half of the item, with the coverage."""
-    return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"), min_coverage=0.5)
+    return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"), min_coverage=0.5).select("doc_id", "item_id", "longest", "coverage")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +71,12 @@ _ITEMS = """SELECT command, CAST(arg_pos AS INTEGER) AS arg_pos, item FROM (
   SELECT command, unnest(arguments) AS item, unnest(range(len(arguments))) AS arg_pos FROM wal_log WHERE command IS NOT NULL)
  WHERE item IS NOT NULL"""
 
+# What ten words shared in a row cover of an item, from all shared windows. Tiles, which do not overlap, cover the same unless
+# passages of an item compete for the same words of a page.
+_SHARED = r"""WITH words AS (SELECT {id}, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: lower(x)) AS w FROM {table}),
+ places AS (SELECT {id}, w, len(w) AS size, unnest(range(1, len(w) - 8)) AS spot FROM words)
+SELECT {id}, size, spot, w[spot:spot + 9] AS gram FROM places"""
+
 SQL = {
     "p4_found": f"""SELECT command, arg_pos, hex(item) AS item_hex FROM ({_ITEMS}) GROUP BY ALL
 HAVING count(*) * 200 >= (SELECT count(*) FROM wal_log)""",
@@ -78,4 +84,11 @@ HAVING count(*) * 200 >= (SELECT count(*) FROM wal_log)""",
  SELECT command, arg_pos, hex(item) AS item_hex, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS place FROM ({_ITEMS}) GROUP BY 1, 2, 3) WHERE place <= 100""",
     "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d
 JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) e USING (gram)""",
+    "p8_coverage": f"""WITH met AS (SELECT DISTINCT d.doc_id, e.item_id, d.spot AS i, e.spot AS j, e.size FROM ({_SHARED.format(id='doc_id', table='documents')}) d
+  JOIN ({_SHARED.format(id='item_id', table='eval_items')}) e USING (gram)),
+ runs AS (SELECT doc_id, item_id, count(*) + 9 AS words FROM (
+   SELECT *, j - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY j) AS island FROM met) GROUP BY doc_id, item_id, i - j, island),
+ covered AS (SELECT doc_id, item_id, size, count(DISTINCT p) AS n FROM (SELECT doc_id, item_id, size, unnest(range(j, j + 10)) AS p FROM met) GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, CAST(max(words) AS INTEGER) AS longest, any_value(n) / any_value(size) AS coverage
+FROM covered JOIN runs USING (doc_id, item_id) WHERE n / size >= 0.5 GROUP BY 1, 2""",
 }
