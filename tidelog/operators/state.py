@@ -97,6 +97,12 @@ def lsn_gaps(log: DataFrame, scope: tuple[str, ...] = (), block_bits: int = 16)
     return gaps.select(*scope, "after", "before", (F.col("before") - F.col("after") - 1).alias("missing"))
 
 
+def last_lsn_in(log: DataFrame) -> DataFrame:
+    """``(segment, records, first_lsn, last_lsn)``: LSN of the first and of the last record of each segment as it lies in the
+    file, by ``ordinal``; not the least and the greatest."""
+    return log.groupBy("segment").agg(F.count("lsn").alias("records"), F.min_by("lsn", "ordinal").alias("first_lsn"), F.max_by("lsn", "ordinal").alias("last_lsn"))
+
+
 def dead_records(log: DataFrame, min_replica_lsn: int) -> DataFrame:
     """Per segment, records that compaction could drop: overwritten, and at or below every replica's position (extension)."""
     last = log.groupBy("key").agg(F.max("lsn").alias("live_lsn"))

@@ -313,17 +313,60 @@ def kv_ship_receive(spark, d):
     return state_of.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "lsn")
 
 
-def kv_wal_roundtrip(spark, d):
-    """Written to segment files in LSN order, read back and folded."""
+def _wal_write(log, folder):
+    rows = _args(log).select(F.col("lsn").cast("decimal(20,0)").alias("lsn"), "command", "arguments")
+    rows.repartitionByRange("lsn").sortWithinPartitions("lsn").write.format("wal").mode("append").option("segmentBytes", 1 << 18).save(folder)
+
+
+def _wal_rows(back):
+    text = lambda i: F.get("arguments", F.lit(i)).cast("string")
+    return back.select(F.col("lsn").cast("bigint").alias("lsn"), "command", text(0).alias("key"), text(1).alias("value"))
+
+
+def _wal_folder(spark):
     from tidelog.sources.wal import register
 
     register(spark)
-    folder = shared_dir(spark, "wal").removeprefix("file://")
-    rows = _args(_log(spark, d)).select(F.col("lsn").cast("decimal(20,0)").alias("lsn"), "command", "arguments")
-    rows.repartitionByRange("lsn").sortWithinPartitions("lsn").write.format("wal").mode("append").option("segmentBytes", 1 << 18).save(folder)
-    back = spark.read.format("wal").load(folder)
-    log = back.select(F.col("lsn").cast("bigint").alias("lsn"), "command", F.get("arguments", F.lit(0)).cast("string").alias("key"), F.get("arguments", F.lit(1)).cast("string").alias("value"))
-    return state.fold(log)
+    return shared_dir(spark, "wal")
+
+
+def kv_wal_roundtrip(spark, d):
+    """Written to segment files in LSN order, read back and folded."""
+    folder = _wal_folder(spark)
+    _wal_write(_log(spark, d), folder)
+    return state.fold(_wal_rows(spark.read.format("wal").load(folder)))
+
+
+def kv_wal_scan_from_lsn(spark, d):
+    """The log read back from an LSN on; segments below it are not opened."""
+    folder = _wal_folder(spark)
+    _wal_write(_log(spark, d), folder)
+    return _wal_rows(spark.read.format("wal").load(folder).where("lsn >= 9000")).drop("value")
+
+
+def kv_wal_tail(spark, d):
+    """The log followed from LSN 2000 on while it grows: half is there when following starts, the rest comes later and is read by the next run."""
+    from tidelog.streaming.state import run_once
+
+    folder, at = _wal_folder(spark), shared_dir(spark, "tail")
+    out = []
+    for part in ("lsn % 10000 < 5000", "lsn % 10000 >= 5000"):
+        _wal_write(_log(spark, d).where(part), folder)
+        out.append(run_once(spark.readStream.format("wal").option("startingLsn", 2000).load(folder), at, "append"))
+    return _wal_rows(out[0].select("lsn", "command", "arguments").unionByName(out[1].select("lsn", "command", "arguments"))).drop("value")
+
+
+def kv_wal_segments(spark, d):
+    """What segment files hold, found by reading them: each segment's first LSN is the manifest's, and its last record's LSN (not the greatest)."""
+    from tidelog.sources.manifest import read_manifest
+
+    folder = _wal_folder(spark)
+    _wal_write(_log(spark, d), folder)
+    found = state.last_lsn_in(spark.read.format("wal").load(folder))
+    listed = spark.createDataFrame([(s.name, s.lsn_start) for s in read_manifest(folder)], "segment string, lsn_start bigint")
+    both = listed.join(found, "segment", "full")
+    whole = both.agg(F.sum("records").alias("records"), F.min("lsn_start").alias("first_lsn"), F.max("last_lsn").alias("last_lsn"), F.sum((F.coalesce(F.col("lsn_start") != F.col("first_lsn"), F.lit(True))).cast("bigint")).alias("wrong"))
+    return whole.select("records", "first_lsn", F.col("last_lsn").cast("bigint").alias("last_lsn"), "wrong")
 
 
 def kv_replay_file_order(spark, d):
@@ -449,6 +492,9 @@ SELECT o.lsn, coalesce(m.segment, 0) AS segment FROM (SELECT DISTINCT o_orderkey
     "kv_stream_replica": _fold(_LOG),
     "kv_ship_receive": _fold(_LOG),
     "kv_wal_roundtrip": _fold(_LOG),
+    "kv_wal_scan_from_lsn": f"SELECT lsn, command, key FROM {_LOG} WHERE lsn >= 9000",
+    "kv_wal_tail": f"SELECT lsn, command, key FROM {_LOG} WHERE lsn >= 2000",
+    "kv_wal_segments": f"SELECT count(*) AS records, min(lsn) AS first_lsn, max(lsn) AS last_lsn, CAST(0 AS BIGINT) AS wrong FROM {_LOG}",
     "kv_replay_file_order": f"""SELECT master_id, hex(arguments[1]) AS key_hex, CAST(arg_max(lsn, (segment, ordinal, lsn)) AS BIGINT) AS by_file, CAST(max(lsn) AS BIGINT) AS by_lsn
 FROM wal_log WHERE {_OK} GROUP BY 1, 2 HAVING by_file <> by_lsn""",
     "kv_as_of_lsn": _fold(f"(SELECT * FROM {_LOG} WHERE lsn <= 5000)"),

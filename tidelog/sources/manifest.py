@@ -1,11 +1,22 @@
-"""The segment manifest: a text file of ``name,first LSN`` lines in the order in which segments were opened."""
+"""The segment manifest: a text file of ``name,first LSN`` lines in the order in which segments were opened.
+
+Two more kinds of line, which other readers skip as malformed, spare reading segments: ``#top=n/bytes``, the greatest LSN of all
+segments above it while the last of them has so many bytes, and ``#unordered``, after which starts no longer bound what lies between.
+"""
 
 from __future__ import annotations
 
-import os
 from typing import NamedTuple
 
+from tidelog.errors import CodecError
+from tidelog.sources.codec import scan_records
+from tidelog.sources.files import append_text, place, read_text, size_of
+
 MANIFEST = "metadata.txt"
+UNORDERED = "#unordered"
+TOP = "#top="
+
+# Fixed value: how far the next LSN is set ahead when the log cannot be read to its end.
 LOST_LSN_STEP = 10_000
 
 
@@ -14,43 +25,51 @@ class Segment(NamedTuple):
     lsn_start: int
 
 
-def read_manifest(folder: str) -> list[Segment]:
-    """Entries in file order; malformed lines are skipped; none without a file."""
-    try:
-        lines = open(os.path.join(folder, MANIFEST), encoding="utf-8").read().splitlines()
-    except FileNotFoundError:
-        return []
-    out = []
-    for line in lines:
-        name, comma, start = line.strip().rpartition(",")
-        if comma and name and start.strip().isdigit():
-            out.append(Segment(name.strip(), int(start)))
-    return out
+class Manifest(NamedTuple):
+    """``segments`` in file order; ``top``: the greatest LSN of the first ``counted`` of them, -1 for none, as of ``last_bytes`` bytes in the last of
+    those; ``ordered``: whether each segment's LSNs lie above those before it."""
 
+    segments: list[Segment]
+    top: int
+    counted: int
+    last_bytes: int
+    ordered: bool
 
-def append_manifest(folder: str, segments: list[Segment]) -> None:
-    """Entries become visible together, after their bytes are on disk."""
-    with open(os.path.join(folder, MANIFEST), "a", encoding="utf-8") as f:
-        f.write("".join(f"{s.name},{s.lsn_start}\n" for s in segments))
-        f.flush()
-        os.fsync(f.fileno())
 
+def load_manifest(folder: str) -> Manifest:
+    """Malformed lines are skipped; without a file there are no segments."""
+    system, path = place(folder)
+    segments, top, counted, size, ordered = [], -1, 0, 0, True
+    for line in (read_text(system, f"{path}/{MANIFEST}") or "").splitlines():
+        line = line.strip()
+        name, comma, start = line.rpartition(",")
+        if comma and name and start.strip().isdigit():
+            segments.append(Segment(name.strip(), int(start)))
+        elif line.startswith(TOP) and all(x.isdigit() for x in line[len(TOP) :].split("/")) and line.count("/") == 1:
+            lsn, size = map(int, line[len(TOP) :].split("/"))
+            top, counted = max(top, lsn), len(segments)
+        elif line == UNORDERED:
+            ordered = False
+    return Manifest(segments, top, counted, size, ordered)
 
-UNORDERED = "#unordered"
+
+def read_manifest(folder: str) -> list[Segment]:
+    return load_manifest(folder).segments
 
 
 def is_ordered(folder: str) -> bool:
-    """Whether every segment's LSNs lie above those of the segments before it, so that starts bound what is in between."""
-    try:
-        return UNORDERED not in open(os.path.join(folder, MANIFEST), encoding="utf-8").read().splitlines()
-    except FileNotFoundError:
-        return True
+    return load_manifest(folder).ordered
 
 
-def mark_unordered(folder: str) -> None:
-    """A line that other readers skip as malformed."""
-    with open(os.path.join(folder, MANIFEST), "a", encoding="utf-8") as f:
-        f.write(UNORDERED + "\n")
+def append_manifest(folder: str, segments: list[Segment], top: int | None = None, unordered: bool = False) -> None:
+    """Entries become visible together, after their bytes are on disk."""
+    system, path = place(folder)
+    lines = [f"{s.name},{s.lsn_start}" for s in segments] + ([UNORDERED] if unordered else [])
+    if top is not None and top >= 0:
+        last = segments[-1] if segments else read_manifest(folder)[-1]
+        lines.append(f"{TOP}{top}/{size_of(system, f'{path}/{last.name}')}")
+    if lines:
+        append_text(system, f"{path}/{MANIFEST}", "".join(f"{line}\n" for line in lines))
 
 
 def segment_for_lsn(segments: list[Segment], lsn: int) -> int:
@@ -63,19 +82,23 @@ def segment_for_lsn(segments: list[Segment], lsn: int) -> int:
     return found
 
 
+def greatest_lsn(folder: str) -> int:
+    """The greatest LSN of the log, -1 if it holds none. Only segments that the manifest has no ``#top`` for are read, in pieces."""
+    m = load_manifest(folder)
+    system, path = place(folder)
+    top, counted = m.top, m.counted
+    if counted and size_of(system, f"{path}/{m.segments[counted - 1].name}") != m.last_bytes:
+        counted -= 1  # somebody has gone on writing to it
+    for s in m.segments[counted:]:
+        for found in scan_records(system, f"{path}/{s.name}"):
+            top = max(top, int(found.lsn.max(initial=0)) if len(found.lsn) else -1)
+    return top
+
+
 def next_lsn(folder: str) -> int:
     """The LSN after everything in the log; after damage one that cannot have been given out yet."""
-    from tidelog.errors import CodecError
-    from tidelog.sources.codec import records
-
-    segments = read_manifest(folder)
-    best = None
-    for s in segments:
-        try:
-            with open(os.path.join(folder, s.name), "rb") as f:
-                for _, r in records(f.read()):
-                    best = r.lsn if best is None else max(best, r.lsn)
-        except (CodecError, FileNotFoundError):
-            floor = max(x.lsn_start for x in segments) + LOST_LSN_STEP
-            return max(floor, (best or 0) + 1)
-    return 0 if best is None else best + 1
+    try:
+        return greatest_lsn(folder) + 1
+    except (CodecError, FileNotFoundError):
+        m = load_manifest(folder)
+        return max(max(s.lsn_start for s in m.segments) + LOST_LSN_STEP, m.top + 1)
