@@ -51,7 +51,7 @@ def test_fold_and_its_relatives(spark):
 def test_history_and_gaps(spark):
     df = spark.createDataFrame([(1, 1, "a", "x"), (5, 1, "a", "y"), (70_000, 3, "a", None), (9, 1, "b", "z")], LOG)
     assert sorted((r.key, r.since, r.until) for r in state.history(df).collect()) == [("a", 1, 5), ("a", 5, 70_000), ("b", 9, None)]
-    assert sorted(map(tuple, state.lsn_gaps(df, block_bits=10).collect())) == [(1, 5, 3), (5, 9, 3), (9, 70_000, 69_990)]
+    assert sorted(map(tuple, state.lsn_gaps(df).collect())) == [(1, 5, 3), (5, 9, 3), (9, 70_000, 69_990)]
 
 
 def test_lsns_are_dense_and_in_order(spark):

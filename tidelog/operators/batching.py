@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidelog.operators.state import assign_lsn
-
 
-def numbered(log: DataFrame, order: str = "lsn") -> DataFrame:
-    """``log`` with its dense 0-based rank ``place`` by ``order``, counted partition by partition."""
-    out = assign_lsn(log.withColumn("__keep", F.col("lsn")), -1, order) if "lsn" in log.columns else assign_lsn(log, -1, order)
-    out = out.withColumnRenamed("lsn", "place")
-    return out.withColumnRenamed("__keep", "lsn") if "__keep" in out.columns else out
+from tidelog.operators.ordered import BLOCK_BITS, Bytes, SizeOrTime, consecutive_groups, numbered, with_last
 
 
 def batches_by_size(log: DataFrame, size: int, order: str = "lsn") -> DataFrame:
@@ -26,32 +13,13 @@ def batches_by_size(log: DataFrame, size: int, order: str = "lsn") -> DataFrame:
     return numbered(log, order).withColumn("batch_id", F.floor(F.col("place") / size)).drop("place")
 
 
-def batches_by_size_or_time(log: DataFrame, size: int, wait_ms: int, order: str = "lsn", at_ms: str = "at_ms", scope: tuple[str, ...] = ()) -> DataFrame:
+def batches_by_size_or_time(log: DataFrame, size: int, wait_ms: int, order: str = "lsn", at_ms: str = "at_ms", scope: tuple[str, ...] = (), bits: int = BLOCK_BITS) -> DataFrame:
     """``log`` with ``batch_id``: a batch closes at ``size`` records or when ``wait_ms`` have passed since its first.
 
-    Where a batch begins depends on every batch before it, so one writer's records are walked in order by one task, as
-    one writer wrote them; ``scope`` names the writers, which are walked side by side. The walk streams: it holds one
-    Arrow batch and the open batch's start, whatever the length of the log.
+    ``scope`` names the writers, whose batches are numbered from 0 each; see ``consecutive_groups`` for how a writer's log is walked by many tasks.
+    A null time closes no batch and a batch that begins with one is closed by size only. An empty log has no batches.
     """
-    schema = T.StructType([*log.schema.fields, T.StructField("batch_id", T.LongType())])
-    names = list(scope)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer, batch, held, first = None, -1, 0, 0
-        for f in frames:
-            ids = np.empty(len(f), np.int64)
-            owners = list(zip(*(f[c] for c in names))) if names else [()] * len(f)
-            for i, (owner, t) in enumerate(zip(owners, f[at_ms].to_numpy())):
-                if owner != writer:
-                    writer, batch, held = owner, -1, size
-                if held >= size or t - first >= wait_ms:
-                    batch, held, first = batch + 1, 0, t
-                held += 1
-                ids[i] = batch
-            yield f.assign(batch_id=ids)
-
-    placed = log.repartition(*names) if names else log.coalesce(1)
-    return placed.sortWithinPartitions(*names, order).mapInPandas(walk, schema)
+    return consecutive_groups(log, SizeOrTime(size, wait_ms), order, at_ms, scope, "batch_id", bits)
 
 
 def key_counts(batched: DataFrame) -> DataFrame:
@@ -59,48 +27,25 @@ def key_counts(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batch_id", "key").agg(F.count("*").alias("n"))
 
 
-def pack_segments(batches: DataFrame, max_bytes: int, scope: tuple[str, ...] = ()) -> DataFrame:
+def pack_segments(batches: DataFrame, max_bytes: int, scope: tuple[str, ...] = (), bits: int = BLOCK_BITS) -> DataFrame:
     """``(*scope, batch_id, bytes, segment)``: a batch opens a new segment if the current one would reach ``max_bytes``.
 
     A batch is never split; the very first goes to segment 0 even if it is too large. Input: one row per batch with
-    ``batch_id`` and ``bytes``, far fewer than records; they are folded in order per scope, in a stream.
+    ``batch_id`` and ``bytes`` (null counts as 0), far fewer than records; they are folded by many tasks (``consecutive_groups``).
     """
-    names = list(scope)
-    schema = T.StructType([*(batches.schema[c] for c in names), T.StructField("batch_id", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("segment", T.LongType())])
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer, segment, held = None, 0, 0
-        for f in frames:
-            ids = np.empty(len(f), np.int64)
-            owners = list(zip(*(f[c] for c in names))) if names else [()] * len(f)
-            for i, (owner, n) in enumerate(zip(owners, f["bytes"].to_numpy())):
-                if owner != writer:
-                    writer, segment, held = owner, 0, 0
-                if held + n >= max_bytes and held > 0:
-                    segment, held = segment + 1, 0
-                held += n
-                ids[i] = segment
-            yield f.assign(segment=ids)
-
-    rows = batches.select(*names, F.col("batch_id").cast("bigint"), F.col("bytes").cast("bigint"))
-    placed = rows.repartition(*names) if names else rows.coalesce(1)
-    return placed.sortWithinPartitions(*names, "batch_id").mapInPandas(walk, schema)
+    rows = batches.select(*scope, F.col("batch_id").cast("bigint"), F.col("bytes").cast("bigint"))
+    return consecutive_groups(rows, Bytes(max_bytes), "batch_id", "bytes", scope, "segment", bits)
 
 
 def segment_for(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(lsn, segment)``: the last segment that starts at or before ``lsn``; below the first, the first.
 
-    Wanted LSNs and segment starts are merged in one sorted pass per range of the order, so this is no range join: the
-    last start seen so far is carried forward by a window, and each range begins with the last start before it.
-    ``manifest``: ``(segment, lsn_start)``, one row per segment file.
+    Wanted LSNs and segment starts are merged in one sorted pass, so this is no range join: the
+    last start seen so far is carried forward, block by block (``with_last``).
+    ``manifest``: ``(segment, lsn_start)``, one row per segment file. Without segments the result is null.
     """
     marks = manifest.select(F.col("lsn_start").cast("bigint").alias("lsn"), F.col("segment"), F.lit(0).alias("kind"))
     asks = wanted.select(F.col("lsn").cast("bigint").alias("lsn"), F.lit(None).cast(manifest.schema["segment"].dataType).alias("segment"), F.lit(1).alias("kind"))
-    block = F.shiftright("lsn", 16)
-    both = marks.unionByName(asks).withColumn("block", block)
-    inside = F.last("segment", ignorenulls=True).over(W.partitionBy("block").orderBy("lsn", "kind").rowsBetween(W.unboundedPreceding, 0))
-    tops = both.groupBy("block").agg(F.max(F.when(F.col("kind") == 0, F.struct("lsn", "segment")))["segment"].alias("top"))
-    carried = F.last("top", ignorenulls=True).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     first = manifest.agg(F.min(F.struct("lsn_start", "segment"))["segment"]).first()[0]
-    found = both.withColumn("inside", inside).where("kind = 1").join(tops.select("block", carried.alias("carried")), "block")
-    return found.select("lsn", F.coalesce("inside", "carried", F.lit(first)).alias("segment"))
+    met = with_last(marks.unionByName(asks), ["lsn", "kind", "segment"], F.col("segment"), "found").where("kind = 1")
+    return met.select("lsn", F.coalesce("found", F.lit(first)).alias("segment"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import numbered, with_next
 from tidelog.schema import DEL, GET, SET
 
 
@@ -55,20 +56,8 @@ def gate(commands: DataFrame, read_only: bool) -> DataFrame:
 
 
 def assign_lsn(commands: DataFrame, last: int, order: str = "seq") -> DataFrame:
-    """Dense LSNs after ``last`` in the order of ``order``, without sorting everything in one task.
-
-    Rows are range-partitioned and counted per partition; each row's number is its place within its partition plus the
-    counts before it. Only the counts, one per partition, meet in one place.
-    """
-    from tidelog.session import materialize
-
-    placed = commands.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    placed = materialize(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "lsn")
-    counts = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select("__part", "first", F.coalesce(before, F.lit(0)).alias("start"))
-    lsn = F.lit(last) + 1 + F.col("start") + F.col("__at") - F.col("first")
-    return placed.join(F.broadcast(starts), "__part").withColumn("lsn", lsn).drop("__part", "__at", "start", "first")
+    """Dense LSNs after ``last`` in the order of ``order``, without sorting everything in one task."""
+    return numbered(commands, order, "lsn", last + 1)
 
 
 def as_of(log: DataFrame, lsn: int) -> DataFrame:
@@ -77,24 +66,21 @@ def as_of(log: DataFrame, lsn: int) -> DataFrame:
 
 
 def history(log: DataFrame) -> DataFrame:
-    """Every value with the LSNs from which and until which it held (extension); one row per SET."""
-    until = F.lead("lsn").over(W.partitionBy("key").orderBy("lsn", "command"))
-    return log.withColumn("until", until).where(F.col("command") == SET).select("key", "value", F.col("lsn").alias("since"), "until")
+    """Every value with the LSNs from which and until which it held (extension); one row per SET. A hot key's records are spread over tasks."""
+    placed = with_next(log, ["key", "lsn", "command"], ["key", "lsn"])
+    until = F.when(F.col("next.key").eqNullSafe(F.col("key")), F.col("next.lsn"))
+    return placed.where(F.col("command") == SET).select("key", "value", F.col("lsn").alias("since"), until.alias("until"))
 
 
-def lsn_gaps(log: DataFrame, scope: tuple[str, ...] = (), block_bits: int = 16) -> DataFrame:
-    """Missing stretches ``(*scope, after, before, missing)`` of a log (extension).
-
-    Gaps inside blocks of 2^bits positions are found block by block; only the first and last position of each block
-    meet their neighbours, so no task sorts a whole log.
-    """
-    part = [*scope, "block"]
-    seen = log.where("lsn IS NOT NULL").select(*scope, "lsn").distinct().withColumn("block", F.shiftright("lsn", block_bits))
-    inner = seen.select(*scope, F.lag("lsn").over(W.partitionBy(*part).orderBy("lsn")).alias("after"), F.col("lsn").alias("before"))
-    ends = seen.groupBy(*part).agg(F.min("lsn").alias("before"), F.max("lsn").alias("last"))
-    outer = ends.select(*scope, F.lag("last").over(W.partitionBy(*scope).orderBy("block")).alias("after"), "before")
-    gaps = inner.unionByName(outer).where("before - after > 1")
-    return gaps.select(*scope, "after", "before", (F.col("before") - F.col("after") - 1).alias("missing"))
+def lsn_gaps(log: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Missing stretches ``(*scope, after, before, missing)`` of a log (extension). Null LSNs are ignored; repeats count once."""
+    seen = log.where("lsn IS NOT NULL").select(*scope, "lsn").distinct()
+    placed = with_next(seen, [*scope, "lsn"], [*scope, "lsn"])
+    same = F.lit(True)
+    for c in scope:
+        same = same & F.col(f"next.{c}").eqNullSafe(F.col(c))
+    gaps = placed.where(same & (F.col("next.lsn") - F.col("lsn") > 1))
+    return gaps.select(*scope, F.col("lsn").alias("after"), F.col("next.lsn").alias("before"), (F.col("next.lsn") - F.col("lsn") - 1).alias("missing"))
 
 
 def last_lsn_in(log: DataFrame) -> DataFrame:
@@ -104,7 +90,14 @@ def last_lsn_in(log: DataFrame) -> DataFrame:
 
 
 def dead_records(log: DataFrame, min_replica_lsn: int) -> DataFrame:
-    """Per segment, records that compaction could drop: overwritten, and at or below every replica's position (extension)."""
-    last = log.groupBy("key").agg(F.max("lsn").alias("live_lsn"))
-    dead = (F.col("lsn") < F.col("live_lsn")) & (F.col("lsn") <= min_replica_lsn)
-    return log.join(last, "key").groupBy("segment").agg(F.count("*").alias("records"), F.sum(dead.cast("int")).alias("dead"))
+    """Per segment, records that compaction could drop: overwritten, and at or below every replica's position (extension).
+
+    Records are first reduced to one state per key and segment; only states meet under a key, so a hot key costs no
+    more than it has segments. LSNs are unique.
+    """
+    low = F.count_if(F.col("lsn") <= min_replica_lsn)
+    states = log.groupBy("key", "segment").agg(F.count("*").alias("records"), low.alias("low"), F.max("lsn").alias("top"))
+    live = F.max("top").over(W.partitionBy("key"))
+    kept = ((F.col("top") == live) & (F.col("top") <= min_replica_lsn)).cast("bigint")
+    dead = states.withColumn("dead", F.col("low") - kept)
+    return dead.groupBy("segment").agg(F.sum("records").alias("records"), F.sum("dead").alias("dead"))
