@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import config, retry
-from tidelog.config import Config
+from tidelog.client import Client
+from tidelog.config import ClientConfig, Config
 from tidelog.errors import Cancelled, ConnectionFailed, InvalidArgument, KeyNotFound, NetworkFailed, ReadOnly, ServerError
 from tidelog.functions import layout
 from tidelog.functions.records import batch_error, handshakes
@@ -205,13 +206,132 @@ def test_backoff_and_retry():
         retry.retry(lambda: (_ for _ in ()).throw(ServerError()), sleep=slept.append)
 
 
+SERVER = """
+engine: {type: "in_memory"}
+network: {ip: "127.0.0.1", port: 3224, max_connections: 100, max_message_size: 4096, idle_timeout: 300, graceful_shutdown_timeout: 5}
+logging: {level: "info", output: "stdout"}
+wal: {flush_batch_size: 100, flush_batch_timeout: 10, max_segment_size: 10485760, data_directory: "/tmp/x"}
+replication: {role: "slave", master_address: "127.0.0.1", master_port: 3333, slave_id: "slave1"}
+"""
+
+
 def test_config(tmp_path):
     assert config.load(_yaml(tmp_path, "")) == Config()
-    c = config.load(_yaml(tmp_path, "shards: 4\nlog: {segment_bytes: 10MB}\nreplication: {role: slave}"))
-    assert (c.shards, c.log.segment_bytes, c.replication.role) == (4, 10 << 20, "slave")
-    for bad in ("engine: disk", "log: {batch_records: 4}", "log: {segment_bytes: 1GB}", "log: null\nreplication: {role: master}", "replication: {role: king}", "nonsense: 1", "log: {segment_bytes: x}"):
+    c = config.load(_yaml(tmp_path, SERVER))
+    assert (c.network.port, c.wal.max_segment_size, c.replication.slave_id, c.refuses_writes) == (3224, 10 << 20, "slave1", True)
+    c = config.load(_yaml(tmp_path, "shards: 4\nwal: {max_segment_size: 10MB}\nreplication: {role: master}"))
+    assert (c.shards, c.wal.max_segment_size, c.refuses_writes) == (4, 10 << 20, False)
+    for bad in (
+        "engine: {type: disk}", "engine: disk", "engine: {type: ''}", "wal: {flush_batch_size: 4}", "wal: {flush_batch_timeout: 1001}", "wal: {max_segment_size: 1GB}", "wal: {max_segment_size: 4095}",
+        "wal: null\nreplication: {role: master}", "replication: {role: king}", "replication: {role: slave}", "wal: {max_segment_size: x}", "logging: {level: loud}", "network: {ip: here}",
+        "network: {port: 80}", "network: {port: 65536}", "network: {port: x}", "network: {max_connections: 0}", "network: {max_connections: 10001}", "network: {max_message_size: 0}", "network: {idle_timeout: 0}",
+        "network: {graceful_shutdown_timeout: -1}", "wal: {data_directory: ''}", "shards: 0", "log_format: csv",
+    ):
         with pytest.raises(InvalidArgument):
             config.load(_yaml(tmp_path, bad))
+    with pytest.warns(UserWarning, match="wal.nonsense"):
+        config.load(_yaml(tmp_path, "wal: {nonsense: 1}"))
+
+
+def test_client_config():
+    c = ClientConfig().check()
+    assert c.backoff == retry.Backoff() and c.with_(retry_attempts=0, retry_jitter=False).backoff == retry.Backoff(0, jitter=False)
+    for bad in ({"host": ""}, {"port": 0}, {"port": 65536}, {"connection_timeout_ms": 0}, {"operation_timeout_ms": 0}, {"max_message_size": 0}, {"retry_attempts": -1}, {"retry_base_delay_ms": -1}, {"retry_max_delay_ms": -1}, {"retry_base_delay_ms": 10, "retry_max_delay_ms": 5}):
+        with pytest.raises(InvalidArgument):
+            c.with_(**bad).check()
+    assert c.with_(retry_max_delay_ms=0).check()
+
+
+def test_linear_reconnect():
+    slept, calls = [], []
+
+    def third():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError()
+        return "up"
+
+    assert retry.connect(third, sleep=slept.append) == "up" and slept == [1.0, 2.0]
+    slept.clear()
+    with pytest.raises(ConnectionFailed, match="after 5 attempts"):
+        retry.connect(lambda: 1 / 0, sleep=slept.append)
+    assert slept == [1.0, 2.0, 3.0, 4.0]
+    with pytest.raises(Cancelled):
+        retry.connect(lambda: (_ for _ in ()).throw(Cancelled()), sleep=slept.append)
+
+
+def test_client(spark, tmp_path):
+    c = Client(KvTable(spark, f"file://{tmp_path}/t", Config(log_format="wal")), ClientConfig(max_message_size=64, retry_jitter=False), sleep=lambda s: None)
+    c.set("k", "v")
+    assert c.get_text("k") == "v" and c.ping()
+    c.delete("k")
+    with pytest.raises(KeyNotFound):
+        c.get("k")
+    with pytest.raises(InvalidArgument, match="too large"):
+        c.set("k", "x" * 64)
+    tried = []
+
+    class Flaky:
+        def get(self, key):
+            tried.append(key)
+            if len(tried) < 3:
+                raise NetworkFailed()
+            return b"back"
+
+    assert Client(Flaky(), sleep=lambda s: None).get(b"k") == b"back" and len(tried) == 3
+
+
+def test_frames_of_columns_are_those_of_the_codec(spark):
+    good = [codec.encode_command("SET", "héllo 🌍".encode(), bytes([0, 1, 2, 255, 254, 253])), codec.encode_command("GET", b"k"), codec.encode_command("DEL", b"k"), codec.encode_command("SET", b"k" * 65535, b"v" * 70000)]
+    bad = [b"", b"\x0a", b"\x00", codec.encode_command("INVALID", b"k"), codec.encode_command("SET", b"k"), codec.encode_command("GET", b"k", b"v"), good[0][:-1], good[1][:-1], good[1][:5], good[1] + b"more", codec.encode_command("GET"), codec.encode_command("set", b"k", b"v")]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate([*good, *bad])] + [(99, None)], "i int, f binary").select("i", layout.parse_frame(F.col("f")).alias("p")).collect()
+    for r in rows:
+        f = b"" if r.i == 99 else [*good, *bad][r.i]
+        try:
+            c = codec.parse_command(f)
+            assert r.p.error is None and (r.p.command, bytes(r.p.key), None if r.p.value is None else bytes(r.p.value)) == (c.name, c.arguments[0], c.arguments[1] if len(c.arguments) > 1 else None)
+        except codec.CodecError as e:
+            assert (r.p.error, r.p.key) == (str(e), None)
+    frames = [codec.frame(b""), codec.frame(b"abc"), codec.frame(b"abc")[:-1], b"\x00", codec.frame(b"x" * 20)]
+    got = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i int, f binary").select("i", layout.read_message_frame(F.col("f"), 10).alias("m")).orderBy("i").collect()
+    assert [(r.m.error, r.m.payload) for r in got] == [(None, b""), (None, b"abc"), ("failed to read message data", None), ("failed to read message header", None), ("message too large", None)]
+
+
+@pytest.mark.parametrize("form", ["parquet", "wal"])
+def test_many_at_once_and_answers(spark, tmp_path, form):
+    t = KvTable(spark, f"file://{tmp_path}/t", Config(log_format=form))
+    bad = t.set_many(spark.createDataFrame([(b"a", b"1", 1), (b"a", b"2", 2), (b"b", b"3", 3), (b"", b"x", 4), (None, b"x", 5), (b"c", b"", 6), (b"d", b"x" * 5000, 7)], "key binary, value binary, n int"), "n")
+    assert sorted(r.error for r in bad.collect()) == ["invalid arguments number", "key cannot be empty", "key cannot be empty", "message too large"]
+    assert t.get(b"a") == b"2" and t.last_lsn() == 2
+    assert t.delete_many(spark.createDataFrame([(b"b",), (b"gone",), (b"",)], "key binary")).count() == 1
+    assert {bytes(r.key) for r in t.state().collect()} == {b"a"} and t.last_lsn() == 4
+    asked = [(1, "GET", b"a", None), (2, "SET", b"a", b"9"), (3, "GET", b"a", None), (4, "DEL", b"a", None), (5, "GET", b"a", None), (6, "SET", b"a", None), (7, "GET", b"b", None), (8, "NOPE", b"a", None), (9, "SET", b"z", b"1")]
+    got = {r.seq: (r.error, None if r.value is None else bytes(r.value)) for r in t.serve(spark.createDataFrame(asked, COMMANDS)).collect()}
+    missing = ("key not found", None)
+    assert got == {1: (None, b"2"), 2: (None, None), 3: (None, b"9"), 4: (None, None), 5: missing, 6: ("invalid arguments number", None), 7: missing, 8: ("unknown command", None), 9: (None, None)}
+    assert {bytes(r.key) for r in t.state().collect()} == {b"z"}
+    t.set(b"s", b"single")
+    t.delete(b"z")
+    assert {bytes(r.key): bytes(r.value) for r in t.state().collect()} == {b"s": b"single"}
+    t.close()
+    c = t.compact(f"file://{tmp_path}/c")
+    assert {bytes(r.key) for r in c.state().collect()} == {b"s"} and c.last_lsn() == t.last_lsn()
+    replica = KvTable(spark, t.path, Config(log_format=form, replication=config.ReplicationConfig("slave", "127.0.0.1", 3333)))
+    with pytest.raises(ReadOnly):
+        replica.delete(b"s")
+    assert {r.seq: r.error for r in replica.serve(spark.createDataFrame(asked[:2], COMMANDS)).collect()} == {1: "key not found", 2: "This instance is in read-only mode"}
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidelog.session import materialize, path_exists, scratch
+
+    with scratch(spark):
+        df = materialize(spark.range(5), "x")
+        path = df.inputFiles()[0].rpartition("/")[0]
+        assert df.agg(F.count("*")).first()[0] == 5 and path_exists(spark, path)
+    assert not path_exists(spark, path)
 
 
 def _yaml(folder, text):

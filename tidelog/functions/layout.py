@@ -50,3 +50,53 @@ def command_frame(command: Column, key: Column, value: Column) -> Column:
         _be(F.octet_length(command), 1), command.cast("binary"), _be(F.octet_length(key), 2), key, _be(F.octet_length(value), 4), value
     )
     return F.when(fits, frame)
+
+
+def _u(data: Column, at: Column, width: int) -> Column:
+    """The big-endian number of ``width`` bytes at 1-based ``at``."""
+    return F.conv(F.hex(F.substring(data, at, F.lit(width))), 16, 10).cast("bigint")
+
+
+def parse_frame(data: Column) -> Column:
+    """A command frame as ``struct(error, command, key, value)``; what follows the value is ignored.
+
+    ``error``, null for a good frame, is the first of: empty command, invalid protocol format (lengths that do not fit, no
+    name), unknown command, invalid arguments number (SET without a value, or another command with one). ``value`` is null
+    for commands without; key and value are null in a frame with an error. A null frame is an empty one.
+    """
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint")
+    n_name = F.when(size >= 1, _u(data, F.lit(1), 1))
+    name = F.substring(data, F.lit(2), n_name.cast("int")).cast("string")
+    key_at = n_name + 2
+    n_key = F.when(size >= key_at + 1, _u(data, key_at.cast("int"), 2))
+    value_at = key_at + 2 + n_key
+    n_value = F.when(size >= value_at + 3, _u(data, value_at.cast("int"), 4))
+    fits = F.coalesce(value_at + 3 + n_value <= size, F.lit(False))
+    error = (
+        F.when(size == 0, F.lit("empty command"))
+        .when((n_name == 0) | (n_name + 1 > size), F.lit("invalid protocol format"))
+        .when(~name.isin("SET", "GET", "DEL"), F.lit("unknown command"))
+        .when(~fits, F.lit("invalid protocol format"))
+        .when((name == "SET") != (n_value > 0), F.lit("invalid arguments number"))
+    )
+    good = error.isNull()
+    key = F.when(good, F.substring(data, (key_at + 2).cast("int"), n_key.cast("int")))
+    value = F.when(good & (n_value > 0), F.substring(data, (value_at + 4).cast("int"), n_value.cast("int")))
+    return F.struct(error.alias("error"), F.when(good, name).alias("command"), key.alias("key"), value.alias("value"))
+
+
+def message_frame(payload: Column) -> Column:
+    """A payload behind its length as u32."""
+    return F.concat(_be(F.octet_length(payload), 4), payload)
+
+
+def read_message_frame(data: Column, max_bytes: int = 2**32 - 1) -> Column:
+    """``struct(error, payload)`` of one framed message; bytes behind it are ignored. A null frame has no header."""
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint")
+    n = F.when(size >= 4, _u(data, F.lit(1), 4))
+    error = (
+        F.when(size < 4, F.lit("failed to read message header"))
+        .when(n > max_bytes, F.lit("message too large"))
+        .when(n + 4 > size, F.lit("failed to read message data"))
+    )
+    return F.struct(error.alias("error"), F.when(error.isNull(), F.substring(data, F.lit(5), n.cast("int"))).alias("payload"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import numbered, with_next
+from tidelog.operators.ordered import numbered, with_last, with_next
 from tidelog.schema import DEL, GET, SET
 
 
@@ -55,6 +55,26 @@ def gate(commands: DataFrame, read_only: bool) -> DataFrame:
     return commands.withColumn("error", F.coalesce(command_error(F.col("command"), F.col("key"), F.col("value")), refused))
 
 
+def serve(commands: DataFrame, held: DataFrame, read_only: bool = False) -> DataFrame:
+    """``(seq, command, key, error, value)``: the answer to every command of a batch ``(seq, command, key, value)``, as if served one after the other.
+
+    ``held`` is the state before, ``(key, value)``. A GET sees what the batch wrote before it: refused commands write nothing, a
+    missing key is ``key not found``. SET and DEL have neither error nor value if they are done. Commands on one key are
+    followed along blocks of the order (``with_last``), so a hot key is not one task. ``seq`` is not null and unique.
+    """
+    names = ["seq", "command", "key", "value", "error"]
+    checked = gate(commands, read_only).select(*names)
+    kinds = {f.name: f.dataType for f in checked.schema}
+    before = held.select(F.lit(None).cast(kinds["seq"]).alias("seq"), F.lit("SET").alias("command"), F.col("key").cast(kinds["key"]), F.col("value").cast(kinds["value"]), F.lit(None).cast("string").alias("error"))
+    every = before.unionByName(checked)
+    wrote = F.when(F.col("error").isNull() & F.col("command").isin("SET", "DEL"), F.struct("key", F.when(F.col("command") == "SET", F.col("value")).alias("value")))
+    told = with_last(every, ["key", "seq"], wrote).where("seq IS NOT NULL")
+    mine = F.when(F.col("last.key").eqNullSafe(F.col("key")), F.col("last.value"))
+    asks = F.col("error").isNull() & (F.col("command") == "GET")
+    error = F.coalesce("error", F.when(asks & mine.isNull(), F.lit("key not found")))
+    return told.select("seq", "command", "key", error.alias("error"), F.when(asks, mine).alias("value"))
+
+
 def assign_lsn(commands: DataFrame, last: int, order: str = "seq") -> DataFrame:
     """Dense LSNs after ``last`` in the order of ``order``, without sorting everything in one task."""
     return numbered(commands, order, "lsn", last + 1)

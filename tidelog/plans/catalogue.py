@@ -14,7 +14,7 @@ from tidelog.functions import layout
 from tidelog.functions.records import batch_error, handshakes, record_error
 from tidelog.functions.u64 import pos_to_bigint
 from tidelog.operators import batching, replication, state
-from tidelog.retry import delay_column
+from tidelog.retry import delay_column, linear_delay_column, retryable_column, verdict
 from tidelog.schema import DEL, SET
 from tidelog.session import shared_dir, stream_path
 
@@ -220,6 +220,14 @@ def kv_replica_registry(spark, d):
     return replication.registry(regs)
 
 
+def kv_registry_removal(spark, d):
+    """Replicas still registered after every fifth handshake's session has ended: its removal comes after it and before the next."""
+    m = handshakes(spark.read.parquet(f"{d}/sync_messages.parquet")).where("accepted")
+    came = m.select(F.concat_ws("/", "master_id", "slave").alias("replica"), pos_to_bigint(F.col("pos")).alias("last_lsn"), "msg_id")
+    left = came.where("msg_id % 5 = 0").select("replica", "last_lsn", F.lit(True).alias("removed"), (F.col("msg_id") * 2 + 1).alias("at"))
+    return replication.registry(came.select("replica", "last_lsn", F.lit(False).alias("removed"), (F.col("msg_id") * 2).alias("at")).unionByName(left))
+
+
 def kv_handshake_roundtrip(spark, d):
     """Positions as handshakes, parsed again, and where shipping starts."""
     sent = replication.handshake_json(_positions(spark, d)).select("message", F.lit("OK").alias("reply"))
@@ -271,6 +279,49 @@ def kv_retry_delays(spark, d):
     return spark.range(0, 12).select(F.col("id").cast("int").alias("attempt"), delay_column(F.col("id")).alias("delay_ms"))
 
 
+def kv_reconnect_delays(spark, d):
+    return spark.range(0, 8).select(F.col("id").cast("int").alias("attempt"), linear_delay_column(F.col("id")).alias("delay_ms"))
+
+
+def kv_retry_verdict(spark, d):
+    """What a sender makes of the answer to each batch."""
+    b = spark.read.parquet(f"{d}/repl_batches.parquet")
+    return b.groupBy(verdict(F.col("reply")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def kv_retryable_errors(spark, d):
+    from tidelog import errors
+
+    kinds = [c.code for c in (errors.ConnectionFailed, errors.NetworkFailed, errors.ServerError, errors.ReadOnly, errors.KeyNotFound, errors.InvalidArgument, errors.Cancelled, errors.TidelogError)]
+    df = spark.createDataFrame([(k,) for k in kinds], "kind string")
+    return df.select("kind", retryable_column(F.col("kind")).alias("retryable"))
+
+
+def kv_parse_frames(spark, d):
+    """Commands as frames, every eleventh one byte short, parsed again."""
+    c = _commands(spark, d)
+    whole = layout.command_frame(F.col("command"), F.col("key").cast("binary"), F.col("value").cast("binary"))
+    cut = F.when(F.col("seq") % 11 == 0, F.substring("frame", F.lit(1), F.octet_length("frame") - 1)).otherwise(F.col("frame"))
+    parsed = c.select("seq", whole.alias("frame")).select("seq", layout.parse_frame(cut).alias("p"))
+    key, value = F.col("p.key").cast("string"), F.col("p.value").cast("string")
+    return parsed.select("seq", F.coalesce("p.error", F.lit("ok")).alias("error"), state.command_id(F.coalesce("p.command", F.lit(""))).alias("command_id"), key.alias("key"), value.alias("value"))
+
+
+def kv_message_frames(spark, d):
+    """Values as framed messages of at most 60 bytes, every thirteenth one byte short, read again."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), layout.message_frame(F.coalesce("props", F.lit("")).cast("binary")).alias("f"))
+    cut = F.when(F.col("seq") % 13 == 0, F.substring("f", F.lit(1), F.octet_length("f") - 1)).otherwise(F.col("f"))
+    read = e.select("seq", layout.read_message_frame(cut, 60).alias("m"))
+    return read.select("seq", F.coalesce("m.error", F.lit("ok")).alias("error"), F.col("m.payload").cast("string").alias("payload"))
+
+
+def kv_serve_commands(spark, d):
+    """The answer to every command, GETs seeing what was written before them, over the state that the customers left."""
+    held = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"))
+    out = state.serve(_commands(spark, d), held)
+    return out.select("seq", F.coalesce("error", F.lit("OK")).alias("answer"), "value")
+
+
 def _event_stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -412,7 +463,7 @@ def _fold(log: str) -> str:
 
 
 _FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(strlen(key)), lambda i: CAST(ord(key[i + 1]) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
-_COMMANDS = """(SELECT CASE event_type WHEN 'error' THEN 'DEL' WHEN 'view' THEN 'GET' WHEN 'click' THEN 'set' ELSE 'SET' END AS command,
+_COMMANDS = """(SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'DEL' WHEN 'view' THEN 'GET' WHEN 'click' THEN 'set' ELSE 'SET' END AS command,
  CASE WHEN user_id % 7 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS value FROM events)"""
 _COMMAND_ERROR = """CASE WHEN command NOT IN ('SET', 'GET', 'DEL') THEN 'unknown command'
  WHEN command = 'SET' AND coalesce(value, '') = '' THEN 'invalid arguments number' WHEN command <> 'SET' AND coalesce(value, '') <> '' THEN 'invalid arguments number'
@@ -477,6 +528,22 @@ SELECT o.lsn, coalesce(m.segment, 0) AS segment FROM (SELECT DISTINCT o_orderkey
  SELECT master_id || '/' || slave_id AS replica, CAST(max(events[len(events)].lsn) AS BIGINT) AS lsn FROM repl_batches WHERE reply = 'OK' AND {_BATCH_ERROR} IS NULL GROUP BY 1) s USING (replica)""",
     "kv_min_replica_lsn": f"SELECT CAST(coalesce(min(last_lsn), 18446744073709551615) AS VARCHAR) AS min_lsn FROM {_POSITIONS}",
     "kv_replica_registry": f"SELECT replica, last_lsn FROM (SELECT master_id || '/' || slave_id AS replica, last_lsn, row_number() OVER (PARTITION BY master_id, slave_id ORDER BY msg_id DESC) AS rn FROM {_HANDSHAKE} WHERE accepted) WHERE rn = 1",
+    "kv_registry_removal": f"""SELECT replica, last_lsn FROM (SELECT master_id || '/' || slave_id AS replica, last_lsn, msg_id, row_number() OVER (PARTITION BY master_id, slave_id ORDER BY msg_id DESC) AS rn
+ FROM {_HANDSHAKE} WHERE accepted) WHERE rn = 1 AND msg_id % 5 <> 0""",
+    "kv_reconnect_delays": "SELECT CAST(i AS INTEGER) AS attempt, CAST(CASE WHEN i BETWEEN 1 AND 4 THEN i * 1000 ELSE 0 END AS BIGINT) AS delay_ms FROM range(8) t(i)",
+    "kv_retry_verdict": "SELECT CASE WHEN reply IS NULL THEN 'retry' WHEN reply = 'OK' THEN 'done' ELSE 'give up' END AS verdict, count(*) AS n FROM repl_batches GROUP BY 1",
+    "kv_retryable_errors": "SELECT * FROM (VALUES ('connection', true), ('network', true), ('server', false), ('read only', false), ('key not found', false), ('invalid argument', false), ('cancelled', false), ('error', true)) t(kind, retryable)",
+    "kv_parse_frames": f"""SELECT seq, error, CAST(CASE WHEN error <> 'ok' THEN 0 WHEN command = 'SET' THEN 1 WHEN command = 'GET' THEN 2 ELSE 3 END AS INTEGER) AS command_id,
+ CASE WHEN error = 'ok' THEN key END AS key, CASE WHEN error = 'ok' AND value <> '' THEN value END AS value FROM (
+ SELECT seq, command, key, coalesce(value, '') AS value, CASE WHEN command NOT IN ('SET', 'GET', 'DEL') THEN 'unknown command' WHEN seq % 11 = 0 THEN 'invalid protocol format'
+  WHEN (command = 'SET') <> (coalesce(value, '') <> '') THEN 'invalid arguments number' ELSE 'ok' END AS error FROM {_COMMANDS})""",
+    "kv_message_frames": """SELECT event_id AS seq, error, CASE WHEN error = 'ok' THEN coalesce(props, '') END AS payload FROM (SELECT *, CASE WHEN strlen(coalesce(props, '')) = 0 AND event_id % 13 = 0 THEN 'failed to read message header'
+ WHEN strlen(coalesce(props, '')) > 60 THEN 'message too large' WHEN event_id % 13 = 0 THEN 'failed to read message data' ELSE 'ok' END AS error FROM events)""",
+    "kv_serve_commands": f"""WITH c AS (SELECT *, {_COMMAND_ERROR} AS error FROM {_COMMANDS}),
+ every AS (SELECT seq, command, key, value, error FROM c UNION ALL SELECT -1, 'SET', CAST(c_custkey AS VARCHAR), c_mktsegment, NULL FROM customer),
+ told AS (SELECT *, last_value(CASE WHEN error IS NULL AND command IN ('SET', 'DEL') THEN {{'v': CASE WHEN command = 'SET' THEN value END}} END IGNORE NULLS)
+  OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM every)
+SELECT seq, coalesce(error, CASE WHEN command = 'GET' AND w.v IS NULL THEN 'key not found' END, 'OK') AS answer, CASE WHEN error IS NULL AND command = 'GET' THEN w.v END AS value FROM told WHERE seq >= 0""",
     "kv_handshake_roundtrip": f"SELECT replica, last_lsn, coalesce(last_lsn + 1, 0) AS start_lsn FROM {_POSITIONS}",
     "kv_handshake_reply": f"""SELECT msg_id, CASE WHEN accepted THEN '{{"status":"OK","slave_id":"' || slave_id || '"}}' ELSE 'ERROR: invalid message' END AS answer,
  CASE WHEN accepted THEN slave_id END AS slave_id FROM {_HANDSHAKE.replace("FROM sync_messages", "FROM (SELECT msg_id, master_id, message, 'OK' AS reply FROM sync_messages)")}""",

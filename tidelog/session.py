@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
+_handed_out: list[str] = []
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,7 +45,24 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _handed_out.append(path := f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what operators have put into the shared folder since: results must have been read or written by then."""
+    known = len(_handed_out)
+    try:
+        yield
+    finally:
+        discard(spark, known)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables and stream folders that operators have made in this process; their results can no longer be read."""
+    while len(_handed_out) > since:
+        delete_path(spark, _handed_out.pop())
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

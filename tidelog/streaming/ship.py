@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.records import batch_error
 from tidelog.operators.replication import SHIP_EVENTS, ship_batches
+from tidelog.retry import LinearBackoff, connect
 from tidelog.schema import SET
 from tidelog.streaming.state import Replica
 
@@ -58,7 +59,11 @@ class Receiver:
         self.spark, self.inbox, self.skip_bad = spark, inbox.rstrip("/"), skip_bad
         self.replica = Replica(spark, path)
 
-    def follow(self) -> Receiver:
+    def follow(self, reconnect: LinearBackoff | None = None) -> Receiver:
+        """Take in what has arrived. ``reconnect``: go on from the checkpoint after a failure, waiting longer each time."""
+        return connect(self._follow, reconnect) if reconnect else self._follow()
+
+    def _follow(self) -> Receiver:
         stream = self.spark.readStream.schema(MESSAGE).parquet(f"{self.inbox}/epoch=*")
         rows = received(stream)
         if not self.skip_bad:

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.schema import SET
-from tidelog.session import child_dirs, materialize, path_exists
+from tidelog.session import child_dirs, delete_path, materialize, path_exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,32 +56,50 @@ def changes_as_they_come(stream: DataFrame) -> DataFrame:
 class Replica:
     """A replica's table in a folder, fed by a stream of log records ``(lsn, command, key, value)``.
 
-    Every epoch folds its records with the version before into a new version, named by the epoch; a repeated epoch
-    replaces its own version, so a failure in between neither skips nor repeats records. Versions hold deletes too, as
-    late older records must not undo them. Redelivered records change nothing.
+    An epoch writes only what it changes: the latest change per key among its records, named by the epoch; a repeated epoch
+    replaces its own, so a failure in between neither skips nor repeats records. Every ``compact_every`` epochs all is folded into
+    a base, after which what went into the base before it is deleted. The state is the fold of the last base and the
+    epochs after it. Deletes are held too, as late older records must not undo them. Redelivered records change nothing.
     """
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark, path: str, compact_every: int = 8):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+        self._empty = T.StructType().add("key", "string").add("value", "string")
 
-    def _version(self, before: int | None = None) -> int | None:
-        made = [int(n[8:]) for n in child_dirs(self.spark, self.path) if n.startswith("version=")]
-        made = [v for v in made if (before is None or v < before) and path_exists(self.spark, f"{self.path}/version={v}/_SUCCESS")]
-        return max(made, default=None)
+    def _made(self, kind: str) -> list[int]:
+        found = [int(n.partition("=")[2]) for n in child_dirs(self.spark, self.path) if n.startswith(f"{kind}=")]
+        return sorted(n for n in found if path_exists(self.spark, f"{self.path}/{kind}={n}/_SUCCESS"))
+
+    def _changes(self, before: int | None = None) -> DataFrame | None:
+        """Folders that together hold the state as it was before an epoch, or now."""
+        bases = [n for n in self._made("base") if before is None or n < before]
+        since = bases[-1] if bases else -1
+        paths = [f"{self.path}/base={since}"] * bool(bases) + [f"{self.path}/epoch={n}" for n in self._made("epoch") if n > since and (before is None or n < before)]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def _apply(self, epoch: DataFrame, number: int) -> None:
-        rows = epoch.select("lsn", "command", "key", "value")
-        if (v := self._version(before=number)) is not None:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/version={v}"))
-        latest_changes(rows).write.mode("overwrite").parquet(f"{self.path}/version={number}")
+        rows = epoch.select(F.col("lsn").cast("bigint").alias("lsn"), F.col("command").cast("int").alias("command"), "key", "value")
+        latest_changes(rows).write.mode("overwrite").parquet(f"{self.path}/epoch={number}")
+        bases = self._made("base")
+        if number - (bases[-1] if bases else -1) >= self.compact_every:
+            latest_changes(self._changes()).write.mode("overwrite").parquet(f"{self.path}/base={number}")
+            # A reader may still be at the last base and what followed it; what is older goes.
+            for kind in ("base", "epoch"):
+                for n in self._made(kind):
+                    if bases and (n < bases[-1] or (n == bases[-1] and kind == "epoch")):
+                        delete_path(self.spark, f"{self.path}/{kind}={n}")
 
     def follow(self, stream: DataFrame) -> "Replica":
+        self._empty = stream.select("key", "value").schema
         q = stream.writeStream.foreachBatch(self._apply).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
         return self
 
     def state(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/version={self._version()}").where(F.col("command") == SET).select("key", "value", "lsn")
+        changes = self._changes()
+        if changes is None:
+            return self.spark.createDataFrame([], T.StructType([*self._empty, T.StructField("lsn", T.LongType())]))
+        return latest_changes(changes).where(F.col("command") == SET).select("key", "value", "lsn")
 
 
 def run_once(result: DataFrame, checkpoint: str, mode: str) -> DataFrame:
