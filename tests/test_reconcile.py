@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.reconcile import compare_copies, xxh64_long
+from tidelog.operators.reconcile import build_tables, compare_copies, differing_keys, peel
 
 SCHEMA = "m string, pos bigint, command int, key binary, value binary, extra int"
 
@@ -70,8 +70,45 @@ def test_two_rows_under_one_name_are_one(spark):
     assert run(spark, left, left[:1]) == {("m", 1, "key")}
 
 
-def test_hash_is_the_engines(spark):
-    values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
-    rows = spark.createDataFrame([(a, b) for a in values for b in values], "a bigint, b bigint").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
-    a, b, h = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("a", "b", "h"))
-    assert (xxh64_long(b, xxh64_long(a)) == h).all()
+def test_tables_are_exchanged_not_rows(spark):
+    rows = [("m%d" % (i % 2), i, 1, b"k%d" % i, b"v", 0) for i in range(20_000)]
+    left, right = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([r for r in rows if r[1] % 1000], SCHEMA)
+    elements = [d.select(F.lit(s).alias("side"), F.xxhash64("m").alias("kid"), "pos", F.xxhash64("key", "value").alias("rowhash")) for s, d in ((1, left), (-1, right))]
+    out = differing_keys(elements[0].unionByName(elements[1]), bucket_rows=2000)
+    assert sorted(r.pos for r in out.collect()) == list(range(0, 20_000, 1000))
+    one = elements[0].unionByName(elements[1]).toPandas()
+    batch = build_tables(one["side"].to_numpy(float), *(one[c].to_numpy() for c in ("kid", "pos", "rowhash")), 10, 50)
+    # Rows that both sides have cancel out where they are met together: three cells for each of the 20 differences stay.
+    assert sum(len(x) for x in batch.column(2).to_pylist()) <= 60
+
+
+def test_repeats_that_differ_in_number(spark):
+    left, right = copies(21, 300, 0.05)
+    many = left * 2 + left[:50] * 3
+    assert run(spark, many, right + right[::3], bucket_rows=100) == brute(many, right)
+
+
+def test_sparse_and_extreme_positions(spark):
+    r = random.Random(3)
+    left = [("m%d" % r.randrange(3), r.choice([-(2**63), 2**63 - 1, 0, r.randrange(-(2**62), 2**62)]), 1, b"k", b"v", 0) for _ in range(200)]
+    left = list({x[:2]: x for x in left}.values())
+    right = [x for i, x in enumerate(left) if i % 9] + [(None, 5, 1, b"k", b"v", 0), ("m1", None, 1, b"k", b"v", 0)]
+    assert run(spark, left, right) == brute(left, right[:-1])
+
+
+def test_peeling():
+    r = np.random.default_rng(1)
+    for size in (0, 1, 30, 300):
+        at, row = r.integers(0, 4096, size), r.integers(-(2**63), 2**63 - 1, size)
+        side = r.choice([1.0, -1.0], size)
+        kid = np.zeros(size, np.int64)
+        if not size:
+            continue
+        batch = build_tables(side, kid, at.astype(np.int64), row, 12, 220)
+        n, sums = np.zeros(660, np.int64), np.zeros((4, 660), np.uint64)
+        for times in (1, 2):
+            for name, i in (("at", 0), ("high", 1), ("low", 2), ("check", 3)):
+                sums[i, batch.column("cell").to_pylist()[0]] = (np.array(batch.column(name).to_pylist()[0], np.int64) * times).view(np.uint64) & np.uint64(0xFFFFFFFF)
+            n[batch.column("cell").to_pylist()[0]] = np.array(batch.column("n").to_pylist()[0]) * times
+            got, whole = peel(n, sums, 220)
+            assert whole and set(got.tolist()) == set(at.tolist())

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,108 +15,177 @@ from tidelog.operators.sizing import broadcast_if_small
 from tidelog.session import materialize
 
 BUCKET_ROWS = 8192
-STRATUM = 16
-CELL_HASHES = 3
+STRATUM = 32
 BROADCAST_ROWS = 100_000
+BUFFER_ROWS = 1_000_000
 
-# The five primes of XXH64.
-_P1, _P2, _P3, _P4, _P5 = (
-    np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
-)
+TABLES = "kid bigint, block bigint, cell array<int>, n array<int>, at array<int>, high array<int>, low array<int>, check array<int>"
+_SUMS = ("at", "high", "low", "check")
+_WORD = np.uint64(0xFFFFFFFF)
 
+# The multipliers of the splitmix64 finaliser.
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
-
-def xxh64_long(values: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
-    """XXH64 of 8-byte values, as the engine's ``xxhash64`` chains it over BIGINT columns (seed 42 first)."""
+def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = np.asarray(seed).astype(np.uint64) + _P5 + np.uint64(8)
-        h = h ^ (_rotl(values.astype(np.uint64) * _P2, 31) * _P1)
-        h = _rotl(h, 27) * _P1 + _P4
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        return h ^ (h >> np.uint64(32))
-
-
-def _places(h: np.ndarray, third: int) -> np.ndarray:
-    """The three cells of an element, one in each third of the table; the same bits as ``_cells`` takes."""
-    parts = [(h >> np.uint64(20 * j)) & np.uint64(0xFFFFF) for j in range(CELL_HASHES)]
-    return np.stack([p.astype(np.int64) % third + j * third for j, p in enumerate(parts)])
-
-
-def peel(cells: pd.DataFrame, third: int) -> tuple[pd.DataFrame, bool]:
-    """Elements of a difference table, by repeatedly taking cells that hold exactly one; whether all came out."""
-    size = CELL_HASHES * third
-    at = cells["cell"].to_numpy()
-    n = np.zeros(size, np.int64)
-    n[at] = cells["n"]
-    sums = np.zeros((4, size), np.uint64)
-    for i, c in enumerate(("kx", "px", "rx", "cx")):
-        sums[i, at] = cells[c].to_numpy().astype(np.int64).view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
+
+
+def _hashes(at: np.ndarray, row: np.ndarray, third: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each element its three cells, one in each third of the table, and its 32 bits of check."""
+    h = _mix(row ^ _mix(at + np.uint64(0x9E3779B97F4A7C15)))
+    cells = [((h >> np.uint64(20 * j)) & np.uint64(0xFFFFF)).astype(np.int64) % third + j * third for j in range(3)]
+    return np.stack(cells), _mix(h) & _WORD
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Numbers modulo 2^32 as INT holds them."""
+    return (x.astype(np.uint64) & _WORD).astype(np.uint32).view(np.int32)
+
+
+def build_tables(side: np.ndarray, kid: np.ndarray, pos: np.ndarray, row: np.ndarray, bits: int, third: int) -> pa.RecordBatch:
+    """Tables of the rows of one task, signed by side: one per bucket ``(kid, pos >> bits)``, of which only cells that are not empty.
+
+    A cell sums, over the elements that fall into it, their signs and, modulo 2^32, the position within the bucket, both
+    halves of the row hash and the check. Sums, unlike XORs, do not lose a row that lies there twice. Rows that are
+    repeated within the task are dropped before.
+    """
+    order = np.lexsort((side, row, pos, kid))
+    side, kid, pos, row = (x[order] for x in (side, kid, pos, row))
+    new = np.ones(len(side), bool)
+    new[1:] = (side[1:] != side[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1]) | (kid[1:] != kid[:-1])
+    side, kid, pos, row = (x[new] for x in (side, kid, pos, row))
+    block, at = pos >> bits, (pos & ((1 << bits) - 1)).astype(np.uint64)
+    opens = np.ones(len(side), bool)
+    opens[1:] = (kid[1:] != kid[:-1]) | (block[1:] != block[:-1])
+    bucket = np.cumsum(opens) - 1
+    hashed = row.view(np.uint64)
+    cells, check = _hashes(at, hashed, third)
+    where, local = np.unique((bucket * (3 * third) + cells).ravel(), return_inverse=True)
+    sums = {}
+    for name, v in (("n", np.ones(len(side))), ("at", at), ("high", hashed >> np.uint64(32)), ("low", hashed & _WORD), ("check", check)):
+        # Below 2^53, as a task buffers at most 2^20 rows or so of 32 bits.
+        sums[name] = np.bincount(local, np.tile(side * v.astype(np.float64), 3), len(where)).astype(np.int64)
+    filled = np.flatnonzero(np.any([s != 0 for s in sums.values()], axis=0))
+    where = where[filled]
+    owner, first = np.unique(where // (3 * third), return_index=True)
+    offsets = pa.array(np.append(first, len(where)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array((where % (3 * third)).astype(np.int32)))]
+    lists += [pa.ListArray.from_arrays(offsets, pa.array(_signed(s[filled].view(np.uint64)))) for s in sums.values()]
+    starts = np.flatnonzero(opens)[owner]
+    return pa.RecordBatch.from_arrays([pa.array(kid[starts]), pa.array(block[starts]), *lists], names=["kid", "block", "cell", "n", *_SUMS])
+
+
+def peel(n: np.ndarray, sums: np.ndarray, third: int) -> tuple[np.ndarray, bool]:
+    """Positions within the bucket of a table's elements, by repeatedly taking cells that hold but one; whether all came out.
+
+    ``n``: signed counts, ``sums``: (4, cells) modulo 2^32. A row that one side has twice more than the other counts 2;
+    half of a sum modulo 2^32 is one of two numbers, of which the check says which.
+    """
+    n, sums = n.copy(), sums.astype(np.uint64)
     found: list[np.ndarray] = []
-    while True:
-        one = np.flatnonzero(np.abs(n) == 1)
-        k, p, r, c = sums[:, one]
-        h = xxh64_long(r, xxh64_long(p, xxh64_long(k)))
-        pure = xxh64_long(h) == c
-        # An element may be alone in up to three cells at once: it must be taken once.
-        elements = np.unique(np.stack([k[pure], p[pure], r[pure], h[pure], n[one][pure].view(np.uint64)]), axis=1)
-        if not elements.shape[1]:
+    for _ in range(len(n) + 1):
+        taken = 0
+        for times in (1, 2):
+            one = np.flatnonzero(np.abs(n) == times)
+            if not len(one):
+                continue
+            sign = np.sign(n[one])
+            v = np.where(sign > 0, sums[:, one], (~sums[:, one] + np.uint64(1)) & _WORD)
+            half = np.uint64(1 << 31)
+            for high, low in [(0, 0)] if times == 1 else [(0, 0), (0, 1), (1, 0), (1, 1)]:
+                at = v[0] // np.uint64(times)
+                row = ((v[1] // np.uint64(times) + half * np.uint64(high)) << np.uint64(32)) | (v[2] // np.uint64(times) + half * np.uint64(low))
+                cells, check = _hashes(at, row, third)
+                pure = ((check * np.uint64(times)) & _WORD == v[3]) & (cells == one).any(axis=0)
+                if times == 2:
+                    pure &= (v[:3] % np.uint64(2) == 0).all(axis=0)
+                # An element may be alone in up to three cells at once: it must be taken once.
+                elements, keep = np.unique(np.stack([at[pure], row[pure]]), axis=1, return_index=True)
+                if not len(keep):
+                    continue
+                taken += len(keep)
+                signs, check = sign[pure][keep], check[pure][keep]
+                found.append(elements[0])
+                m = (signs * times).astype(np.int64)
+                parts = np.stack([elements[0], elements[1] >> np.uint64(32), elements[1] & _WORD, check]).astype(np.int64) * m
+                for c in cells[:, pure][:, keep]:
+                    np.subtract.at(n, c, m)
+                    for i in range(4):
+                        np.subtract.at(sums[i], c, parts[i].view(np.uint64))
+                sums &= _WORD
+                break
+            if taken:
+                break
+        if not taken:
             break
-        k, p, r, h, sign = elements
-        found.append(elements[[0, 1, 2, 4]])
-        check = xxh64_long(h)
-        for place in _places(h, third):
-            np.subtract.at(n, place, sign.view(np.int64))
-            for i, v in enumerate((k, p, r, check)):
-                np.bitwise_xor.at(sums[i], place, v)
-    out = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.uint64)
-    frame = pd.DataFrame({c: out[i].view(np.int64) for i, c in enumerate(("kid", "pos", "rowhash", "side"))})
-    return frame, not (n.any() or sums.any())
-
-
-def _cells(elements: DataFrame, third: int) -> DataFrame:
-    """The difference of both sides' tables: cells are linear, so signed sums and XORs subtract them at once."""
-    h = F.xxhash64("kid", "pos", "rowhash")
-    place = [(F.shiftright(h, 20 * j).bitwiseAND(F.lit(0xFFFFF)) % third + j * third).cast("int") for j in range(CELL_HASHES)]
-    spread = elements.select("bucket", "side", "kid", "pos", "rowhash", F.xxhash64(h).alias("check"), F.explode(F.array(*place)).alias("cell"))
-    sums = spread.groupBy("bucket", "cell").agg(
-        F.sum("side").alias("n"), F.bit_xor("kid").alias("kx"), F.bit_xor("pos").alias("px"), F.bit_xor("rowhash").alias("rx"), F.bit_xor("check").alias("cx")
-    )
-    return sums.where("n <> 0 OR kx <> 0 OR px <> 0 OR rx <> 0 OR cx <> 0")
+    at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return at.astype(np.int64), not (n.any() or sums.any())
+
 
+def differing_keys(elements: DataFrame, bucket_rows: int = BUCKET_ROWS, cells_per_difference: float = 1.5, stratum: int = STRATUM) -> DataFrame:
+    """``(kid, pos)`` of every element that the two sides do not have equally often, and of none that they have.
 
-def differing_keys(elements: DataFrame, n_rows: int, bucket_rows: int = BUCKET_ROWS, cells_per_difference: float = 1.5) -> DataFrame:
-    """``(kid, pos)`` of every element that only one side has.
+    ``elements``: ``(side, kid, pos, rowhash)``, side +1 or -1. A bucket is a stretch of positions of one ``kid`` that
+    holds about ``bucket_rows`` rows. Logs lie in their files in about the order of their positions, so nearly all rows of a
+    bucket are met by one or two tasks of each side, which build its table where the rows lie: what is exchanged are
+    tables, whose size goes with the differences, not rows. (Rows in no order at all would cost up to three cells a row.)
 
-    ``elements``: ``(side, kid, pos, rowhash)``, side +1 or -1, repeats allowed. They are cut to buckets of about
-    ``bucket_rows`` in one exchange, on which repeats are dropped (a repeat would cancel itself in an XOR) and each
-    bucket's table is summed. Tables are sized by the difference counted in one of 16 strata of all elements. A
-    bucket that does not peel to nothing is not guessed at: its elements are compared one by one.
+    One of ``stratum`` rows, chosen by name, is counted through beforehand; from these come the density of positions, which sets
+    the buckets' width, and the number of differences, which sets the tables' size. A bucket that does not peel to nothing
+    is not guessed at: its elements are compared one by one.
     """
-    buckets = max(1, -(-n_rows // bucket_rows))
-    placed = elements.withColumn("bucket", F.pmod(F.xxhash64("pos", "kid"), F.lit(buckets)).cast("int"))
-    placed = placed.repartition("bucket").distinct()
-    placed = materialize(placed.select("bucket", "side", "kid", "pos", "rowhash"), "iblt")
-    unequal = lambda df: df.groupBy("bucket", "kid", "pos", "rowhash").agg(F.sum("side").alias("s")).where("s <> 0")
-    stratum = placed.where(F.pmod(F.xxhash64("rowhash", "pos"), F.lit(STRATUM)) == 0)
-    mean = unequal(stratum).count() * STRATUM / buckets
-    third = max(8, math.ceil((mean + 5 * math.sqrt(mean) + 8) * cells_per_difference / CELL_HASHES))
-
-    def decode(cells: pd.DataFrame) -> pd.DataFrame:
-        found, whole = peel(cells, third)
-        bucket = int(cells["bucket"].iloc[0])
+    chosen = elements.where(F.pmod(F.xxhash64("pos", "kid"), F.lit(stratum)) == 0)
+    counted = materialize(chosen.groupBy("kid", "pos", "rowhash").agg(F.sum("side").alias("s"), F.count("*").alias("n")), "stratum")
+    spread = counted.groupBy("kid").agg(F.sum("n").alias("n"), F.percentile_approx("pos", [0.05, 0.95]).alias("p"))
+    span = F.sum((F.element_at("p", 2).cast("double") - F.element_at("p", 1)) / 0.9 + 1)
+    seen = spread.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(span, F.lit(1.0)).alias("span")).first()
+    rows = max(1, seen.n * stratum)
+    bits = min(31, max(4, round(math.log2(max(1.0, bucket_rows * seen.span / rows)))))
+    mean = counted.where("s <> 0").count() * stratum * min(1.0, bucket_rows / rows)
+    third = max(8, math.ceil((mean + 5 * math.sqrt(mean) + 8) * cells_per_difference / 3))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def built() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            columns = [t.column(c).to_numpy() for c in ("side", "kid", "pos", "rowhash")]
+            return build_tables(columns[0].astype(np.float64), *columns[1:], bits, third)
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BUFFER_ROWS:
+                yield built()
+                held.clear()
+        if held:
+            yield built()
+
+    def decode(frame: pd.DataFrame) -> pd.DataFrame:
+        n, sums = np.zeros(3 * third, np.int64), np.zeros((4, 3 * third), np.uint64)
+        for row in frame.itertuples(index=False):
+            cell = np.asarray(row.cell)
+            n[cell] += row.n
+            for i, c in enumerate(_SUMS):
+                sums[i, cell] += np.asarray(getattr(row, c)).astype(np.int64).view(np.uint64)
+        at, whole = peel(n, sums & _WORD, third)
+        kid, block = int(frame["kid"].iloc[0]), int(frame["block"].iloc[0])
         if not whole:
-            found = pd.DataFrame({"kid": [0], "pos": [0]})
-        return found.assign(bucket=bucket, whole=whole)[["bucket", "kid", "pos", "whole"]]
+            at = np.zeros(1, np.int64)
+        return pd.DataFrame({"kid": kid, "block": block, "pos": (block << bits) + at, "whole": whole})
 
-    peeled = _cells(placed, third).groupBy("bucket").applyInPandas(decode, "bucket int, kid bigint, pos bigint, whole boolean")
-    peeled = materialize(peeled, "peeled")
-    stuck = peeled.where("NOT whole").select("bucket").distinct()
-    direct = unequal(placed.join(broadcast_if_small(stuck, BROADCAST_ROWS), "bucket", "left_semi"))
-    return peeled.where("whole").select("kid", "pos").unionByName(direct.select("kid", "pos")).distinct()
+    made = elements.select("side", "kid", "pos", "rowhash").mapInArrow(tables, TABLES)
+    peeled = materialize(made.groupBy("kid", "block").applyInPandas(decode, "kid bigint, block bigint, pos bigint, whole boolean"), "peeled")
+    names = peeled.where("whole").select("kid", "pos")
+    stuck = peeled.where("NOT whole").select("kid", "block").distinct()
+    if stuck.isEmpty():
+        return names
+    direct = elements.withColumn("block", F.shiftright("pos", bits)).join(broadcast_if_small(stuck, BROADCAST_ROWS), ["kid", "block"], "left_semi")
+    direct = direct.groupBy("kid", "pos", "rowhash").agg(F.sum("side").alias("s")).where("s <> 0")
+    return names.unionByName(direct.select("kid", "pos")).distinct()
 
 
 def compare_copies(
@@ -126,7 +196,6 @@ def compare_copies(
     fields: Sequence[str],
     only_left: str = "only_master",
     only_right: str = "only_replica",
-    n_rows: int | None = None,
     **sizes,
 ) -> DataFrame:
     """Rows missing on either side and fields that differ: ``(scope, pos, diff)``.
@@ -134,19 +203,18 @@ def compare_copies(
     Both inputs have ``(scope, pos, *fields)``; a row is named by scope and pos. ``diff`` is ``only_left``,
     ``only_right`` or the name of a differing field, one row each; nulls equal nulls only. Repeated rows count
     once; if one side holds different rows under one name, the one greatest by its fields stands for it. Extra
-    columns are ignored; two empty inputs give an empty result. Two different rows with equal 64-bit hashes under
+    columns are ignored; two empty inputs give an empty result. A null scope is a scope; rows with a null pos have no name and are left out.
+    Two different rows with equal 64-bit hashes under
     one name would be missed (2^-64 per pair); every reported difference has been compared byte by byte.
     """
     body = F.struct(*fields)
     kid = F.xxhash64(scope)
-    sides = [s.select(F.lit(sign).alias("side"), scope, kid.alias("kid"), F.col(pos).alias("pos"), *fields) for sign, s in ((1, left), (-1, right))]
+    sides = [s.where(F.col(pos).isNotNull()).select(F.lit(sign).alias("side"), scope, kid.alias("kid"), F.col(pos).alias("pos"), *fields) for sign, s in ((1, left), (-1, right))]
     both = sides[0].unionByName(sides[1])
     # The hash covers nulls too: without the mask, (null, x) and (x, null) would hash alike.
     mask: Column = F.concat_ws("", *(F.col(f).isNull().cast("int").cast("string") for f in fields))
     elements = both.select("side", "kid", "pos", F.xxhash64(mask, *fields).alias("rowhash"))
-    if n_rows is None:
-        n_rows = both.count()
-    named = materialize(differing_keys(elements, n_rows, **sizes), "differing")
+    named = materialize(differing_keys(elements, **sizes).distinct(), "differing")
     fetched = both.join(broadcast_if_small(named, BROADCAST_ROWS), ["kid", "pos"], "left_semi")
     pairs = fetched.groupBy("kid", "pos", scope).agg(F.max(F.when(F.col("side") == 1, body)).alias("l"), F.max(F.when(F.col("side") == -1, body)).alias("r"))
     unequal = [F.when(~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), F.lit(f)) for f in fields]
