@@ -104,6 +104,13 @@ def test_layout_expressions_equal_the_codec(spark):
         assert bytes(r.f) == codec.encode_command("SET" if r.command == 1 else "DEL", *a)
 
 
+def test_frame_that_does_not_fit_is_an_error(spark):
+    df = spark.createDataFrame([(b"k" * 65536,)], "k binary").select(layout.command_frame(F.lit("GET"), F.col("k"), F.lit(None).cast("binary")).alias("f"))
+    with pytest.raises(Exception, match="key too long"):
+        df.collect()
+    assert spark.range(1).select(layout.command_frame(F.lit("GET"), F.lit(None).cast("binary"), F.lit(b"")).alias("f")).first().f is None
+
+
 def test_fnv(spark):
     # Published FNV-1a vectors.
     vectors = {b"": 0x811C9DC5, b"a": 0xE40C292C, b"foobar": 0xBF9CF968}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.state import fold
 from tidelog.schema import SET
 from tidelog.streaming.ship import MESSAGE, Receiver, received, ship
+from tidelog.streaming.commit import GroupCommit
 from tidelog.streaming.state import ROCKSDB, Replica, changes_as_they_come, latest_changes, run_once
 
 LOG = "lsn bigint, command int, key string, value string"
@@ -114,3 +115,22 @@ def test_refused_messages_do_not_become_gaps(spark, tmp_path):
     with pytest.raises(Exception, match="refused message|STREAM_FAILED"):
         Receiver(spark, inbox, f"file://{tmp_path}/a").follow()
     assert [bytes(r.key) for r in Receiver(spark, inbox, f"file://{tmp_path}/b", skip_bad=True).follow().state().collect()] == [b"k"]
+
+
+def test_group_commit_over_epochs_and_a_repeat(spark, tmp_path):
+    schema = "seq bigint, command string, key string, value string"
+    folder, at = f"file://{tmp_path}/in", f"file://{tmp_path}/commit"
+    commit = GroupCommit(spark, at, size=3)
+    assert commit.told().count() == 0 and commit.refused().count() == 0
+    parts = [[(i, "SET", f"k{i % 2}", "v") for i in range(7)] + [(7, "SET", "", "v"), (8, "GET", "k1", None)], [(10, "DEL", "k0", None), (11, "NOPE", "k", None)], [(20, "GET", "k1", None)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        commit.follow(spark.readStream.schema(schema).parquet(folder))
+    want = [(0, 0, 0, "k0", 2), (1, 1, 0, "k1", 1), (2, 2, 0, "k0", 2), (3, 3, 1, "k1", 2), (4, 4, 1, "k0", 1), (5, 5, 1, "k1", 2), (6, 6, 2, "k0", 1), (10, 7, 3, "k0", 1)]
+    told = lambda: sorted((r.seq, r.lsn, r.batch_id, bytes(r.key).decode(), r.n) for r in commit.told().collect())
+    assert told() == want
+    assert sorted(map(tuple, commit.refused().collect())) == [(7, "key cannot be empty"), (11, "unknown command")]
+    # As after a failure between the table and the end of the epoch.
+    commit._commit(spark.createDataFrame(parts[1], schema), 1)
+    assert told() == want
+    assert sorted(int(r.lsn) for r in spark.read.format("wal").load(f"{at}/log").select("lsn").distinct().collect()) == list(range(8))

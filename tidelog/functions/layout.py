@@ -42,14 +42,15 @@ def _be(n: Column, width: int) -> Column:
 def command_frame(command: Column, key: Column, value: Column) -> Column:
     """A command as it goes over the wire: u8 length, name, u16 length, key, u32 length, value.
 
-    Null instead of a frame whose lengths do not fit; a null value is an empty one.
+    A name or key too long for its length field is an error, as it is in ``codec.encode_command``. A null value is an empty one;
+    a null name or key gives null.
     """
     value = F.coalesce(value, F.unhex(F.lit("")))
-    fits = (F.octet_length(command) < 2**8) & (F.octet_length(key) < 2**16)
     frame = F.concat(
         _be(F.octet_length(command), 1), command.cast("binary"), _be(F.octet_length(key), 2), key, _be(F.octet_length(value), 4), value
     )
-    return F.when(fits, frame)
+    long = F.when(F.octet_length(command) >= 2**8, F.raise_error("command too long").cast("binary")).when(F.octet_length(key) >= 2**16, F.raise_error("key too long").cast("binary"))
+    return F.coalesce(long, frame)
 
 
 def _u(data: Column, at: Column, width: int) -> Column:

@@ -354,6 +354,16 @@ def kv_stream_replica(spark, d):
     return Replica(spark, shared_dir(spark, "replica")).follow(_event_stream(spark, d)).state()
 
 
+def kv_stream_group_commit(spark, d):
+    """Commands of a stream committed in batches: the LSN, batch and per-batch key count that each is told."""
+    from tidelog.streaming.commit import GroupCommit
+
+    log = _event_stream(spark, d)
+    commands = log.select(F.col("lsn").alias("seq"), F.when(F.col("command") == SET, "SET").otherwise("DEL").alias("command"), "key", "value")
+    told = GroupCommit(spark, shared_dir(spark, "commit"), BATCH).follow(commands).told()
+    return told.select("seq", "lsn", "batch_id", F.col("key").cast("string").alias("key"), "n")
+
+
 def kv_ship_receive(spark, d):
     """The log shipped to a replica's inbox as JSON batches, received, checked and applied there."""
     from tidelog.streaming.ship import Receiver, ship
@@ -557,6 +567,7 @@ SELECT seq, coalesce(error, CASE WHEN command = 'GET' AND w.v IS NULL THEN 'key
     "kv_stream_state": _fold(_LOG),
     "kv_stream_state_tws": _fold(_LOG),
     "kv_stream_replica": _fold(_LOG),
+    "kv_stream_group_commit": f"SELECT lsn AS seq, place AS lsn, place // {BATCH} AS batch_id, key, count(*) OVER (PARTITION BY place // {BATCH}, key) AS n FROM {_NUMBERED}",
     "kv_ship_receive": _fold(_LOG),
     "kv_wal_roundtrip": _fold(_LOG),
     "kv_wal_scan_from_lsn": f"SELECT lsn, command, key FROM {_LOG} WHERE lsn >= 9000",
