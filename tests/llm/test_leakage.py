@@ -99,6 +99,17 @@ def test_repeated_words_take_bounded_time():
     assert time.time() - began < 30
 
 
+def test_pages_are_taken_apart_when_they_hold_too_many_pairs(monkeypatch):
+    from tidelog.llm import leakage
+
+    r = random.Random(6)
+    word = lambda: r.choice("abc")
+    docs, item = [(d, [word() for _ in range(60)]) for d in range(9)], [word() for _ in range(40)]
+    whole = list(ItemIndex([(1, item)], 3).tiles(docs))
+    monkeypatch.setattr(leakage, "PAIRS", 50)
+    assert list(ItemIndex([(1, item)], 3).tiles(docs)) == whole
+
+
 def test_texts_of_documents_are_not_exchanged(spark):
     d = spark.createDataFrame([(1, "a " * 30, "")], DOCS)
     i = spark.createDataFrame([(k, f"w{k} " * 30, "") for k in range(40)], ITEMS)

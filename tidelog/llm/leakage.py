@@ -17,6 +17,7 @@ from tidelog.session import materialize
 
 MIN_WORDS = 10
 BLOCK_WINDOWS = 2_000_000
+PAIRS = 4_000_000
 WORD = r"[\p{L}\p{Nd}]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -116,12 +117,15 @@ class ItemIndex:
         self.seeds, self.start = np.unique(hashes, return_index=True)
         self.stop = np.append(self.start[1:], len(hashes))
 
-    def _beginnings(self, seed: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of the documents, the item places under its seed that have another word before them."""
+    def _counts(self, seed: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of the documents, where its seed's places with the same word before them end, and how many lie on either side of those."""
         key = seed * (len(self.number) + 2) + before + 1
         known = np.repeat(np.arange(len(self.seeds)), self.stop - self.start) * (len(self.number) + 2) + self.before + 1
         low, high = np.searchsorted(known, key), np.searchsorted(known, key, side="right")
-        counts = np.stack([low - self.start[seed], self.stop[seed] - high], axis=1).ravel()
+        return high, np.stack([low - self.start[seed], self.stop[seed] - high], axis=1).ravel()
+
+    def _beginnings(self, seed: np.ndarray, high: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of the documents, the item places under its seed that have another word before them."""
         begin = np.stack([self.start[seed], high], axis=1).ravel()
         at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         return np.repeat(np.arange(len(seed)), counts[::2] + counts[1::2]), self.place[at]
@@ -149,10 +153,19 @@ class ItemIndex:
         if not len(whole):
             return
         before = np.where(whole == starts[owner], 0, words[np.maximum(whole - 1, 0)]).astype(np.int64)
-        which, place = self._beginnings(seed, before)
+        high, counts = self._counts(seed, before)
+        if counts.sum() > PAIRS and len(docs) > 1:
+            # So that a few pages of repeated words do not fill the memory together.
+            half = len(docs) // 2
+            yield from self.tiles(docs[:half])
+            yield from self.tiles(docs[half:])
+            return
+        which, place = self._beginnings(seed, high, counts)
         at, owner = whole[which], owner[which]
         item = np.searchsorted(self.ends, place, side="right")
-        length = self._lengths(words, at, ends[owner], place, self.ends[item])
+        most = np.minimum(ends[owner] - at, self.ends[item] - place)
+        step = 1 << 17
+        length = np.concatenate([self._lengths(words, at[k : k + step], place[k : k + step], most[k : k + step]) for k in range(0, len(at), step)] or [np.zeros(0, np.int64)])
         good = length >= w
         at, owner, place, item, length = (x[good] for x in (at, owner, place, item, length))
         order = np.lexsort((item, owner))
@@ -166,9 +179,8 @@ class ItemIndex:
             for x, y, size in greedy_tiles(mine, its, runs, w):
                 yield docs[d][0], self.ids[i], x, y, size, len(its)
 
-    def _lengths(self, words: np.ndarray, at: np.ndarray, end: np.ndarray, place: np.ndarray, item_end: np.ndarray) -> np.ndarray:
-        """How many words agree from each pair of places on, word by word, all pairs at once."""
-        most = np.minimum(end - at, item_end - place)
+    def _lengths(self, words: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many words agree from each pair of places on, ``most`` at most, word by word, all pairs at once."""
         length = np.zeros(len(at), np.int64)
         live = np.flatnonzero(most > 0)
         step = 16
