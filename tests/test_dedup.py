@@ -149,3 +149,23 @@ def test_single_file_and_empty_input(spark, folder, tmp_path):
     write(spark, f"file://{tmp_path}/one", batches := make(4, 10), "a")
     single = next((tmp_path / "one").glob("*.parquet"))
     assert result(Deduplicator(spark).run(f"file://{single}")) == brute(batches)
+
+
+def test_compaction_between_runs_and_an_interrupted_one(spark, folder, tmp_path):
+    from tidelog.session import rename_path
+
+    batches = make(9, 60)
+    path = f"file://{tmp_path}/out"
+    for i in range(4):
+        write(spark, folder, batches[i * 12 : i * 12 + 12], str(i))
+        d = Deduplicator(spark, path, horizon="1 hour", files_per_trigger=1).run(folder)
+    files = lambda: sum(1 for _ in (tmp_path / "out/ledger").rglob("*.parquet"))
+    before = files()
+    assert result(d.compact()) == brute(batches[:48]) and files() < before
+    write(spark, folder, batches[48:], "late")
+    d = Deduplicator(spark, path, horizon="1 hour").run(folder)
+    assert result(d) == brute(batches)
+    d.compact()
+    rename_path(spark, f"{path}/ledger", f"{path}/ledger-new")
+    (tmp_path / "out/ledger-old").mkdir()
+    assert result(Deduplicator(spark, path)) == brute(batches)

@@ -223,14 +223,14 @@ replication: {role: "slave", master_address: "127.0.0.1", master_port: 3333, sla
 
 
 def test_config(tmp_path):
-    assert config.load(_yaml(tmp_path, "")) == Config()
+    assert config.load(_yaml(tmp_path, "")) == Config(wal=None)
     c = config.load(_yaml(tmp_path, SERVER))
     assert (c.network.port, c.wal.max_segment_size, c.replication.slave_id, c.refuses_writes) == (3224, 10 << 20, "slave1", True)
     c = config.load(_yaml(tmp_path, "shards: 4\nwal: {max_segment_size: 10MB}\nreplication: {role: master}"))
     assert (c.shards, c.wal.max_segment_size, c.refuses_writes) == (4, 10 << 20, False)
     for bad in (
         "engine: {type: disk}", "engine: disk", "engine: {type: ''}", "wal: {flush_batch_size: 4}", "wal: {flush_batch_timeout: 1001}", "wal: {max_segment_size: 1GB}", "wal: {max_segment_size: 4095}",
-        "wal: null\nreplication: {role: master}", "replication: {role: king}", "replication: {role: slave}", "wal: {max_segment_size: x}", "logging: {level: loud}", "network: {ip: here}",
+        "wal: null\nreplication: {role: master}", "replication: {role: master}", "wal: {}\nreplication: {role: king}", "wal: {}\nreplication: {role: slave}", "wal: {max_segment_size: x}", "logging: {level: loud}", "network: {ip: here}",
         "network: {port: 80}", "network: {port: 65536}", "network: {port: x}", "network: {max_connections: 0}", "network: {max_connections: 10001}", "network: {max_message_size: 0}", "network: {idle_timeout: 0}",
         "network: {graceful_shutdown_timeout: -1}", "wal: {data_directory: ''}", "shards: 0", "log_format: csv",
     ):

@@ -188,7 +188,7 @@ def parse_size(text: str | int) -> int:
 def load(path: str | None = None) -> Config:
     """Settings of a YAML file (by default the one in CONFIG_FILEPATH, else config.yaml).
 
-    Sections and settings that it leaves out have defaults, but ``wal: null`` means no log and no ``replication`` means none.
+    Settings that it leaves out have defaults, and so do the sections but ``wal`` and ``replication``, which are off unless they are there.
     Settings that are not known are left alone with a warning.
     """
     import yaml
@@ -203,7 +203,7 @@ def load(path: str | None = None) -> Config:
         return {k: v for k, v in d.items() if k in names}
 
     sections = {"engine": EngineConfig, "network": NetworkConfig, "logging": LoggingConfig, "wal": WalConfig, "replication": ReplicationConfig}
-    out = known(Config, data, "")
+    out = {"wal": None} | known(Config, data, "")
     for name, cls in sections.items():
         if isinstance(d := out.get(name), dict):
             if name == "wal" and "max_segment_size" in d:

@@ -430,6 +430,71 @@ def kv_wal_segments(spark, d):
     return whole.select("records", "first_lsn", F.col("last_lsn").cast("bigint").alias("last_lsn"), "wrong")
 
 
+def kv_wal_damaged(spark, d):
+    """A log whose last segment has lost its last byte, read in PERMISSIVE mode: all records but one, and why that is missing."""
+    from tidelog.sources.files import place, size_of
+    from tidelog.sources.manifest import read_manifest
+
+    folder = _wal_folder(spark)
+    _wal_write(_log(spark, d), folder)
+    system, path = place(folder)
+    last = f"{path}/{read_manifest(folder)[-1].name}"
+    with system.open_input_file(last) as f:
+        data = f.read(size_of(system, last) - 1)
+    with system.open_output_stream(last) as f:
+        f.write(data)
+    rows = spark.read.format("wal").option("mode", "PERMISSIVE").load(folder)
+    return rows.agg(F.count("lsn").alias("records"), F.max("error").alias("error"))
+
+
+def _table_of(spark, d, form):
+    """Customers set in bulk, every third deleted in bulk, then looked up with suppliers that were never there."""
+    from tidelog.config import Config
+    from tidelog.table import KvTable
+
+    t = KvTable(spark, shared_dir(spark, "table"), Config(log_format=form))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).cast("binary").alias("key"), F.col("c_mktsegment").cast("binary").alias("value"))
+    t.set_many(rows, "c_custkey")
+    t.delete_many(rows.where("c_custkey % 3 = 0"))
+    asked = rows.select("key").unionByName(spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).cast("binary").alias("key")))
+    return t.get_many(asked).select(F.col("key").cast("string").alias("key"), "found", F.col("value").cast("string").alias("value"))
+
+
+def kv_table_many(spark, d):
+    return _table_of(spark, d, "parquet")
+
+
+def kv_table_many_wal(spark, d):
+    """The same with the table's log in segment files."""
+    return _table_of(spark, d, "wal")
+
+
+def kv_client_calls(spark, d):
+    """Nations set one by one through a client, those of one region deleted again, as the log then has them."""
+    from tidelog.client import Client
+    from tidelog.config import Config
+    from tidelog.table import KvTable
+
+    t = KvTable(spark, shared_dir(spark, "client"), Config(log_format="wal"))
+    c = Client(t)
+    # A dimension of 25 rows.
+    nations = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
+    for n in nations:
+        c.set(f"nation:{n.n_nationkey}", n.n_name)
+    for n in nations:
+        if n.n_regionkey == 2:
+            c.delete(f"nation:{n.n_nationkey}")
+    t.close()
+    return t.state().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "lsn")
+
+
+def kv_replica_ids(spark, d):
+    """The id of each replica: that which it gave, or, for every other one here, one made of time and position."""
+    m = handshakes(spark.read.parquet(f"{d}/sync_messages.parquet")).where("accepted")
+    given = F.when(F.col("msg_id") % 2 == 0, F.col("slave"))
+    return m.select("msg_id", replication.replica_id(given, pos_to_bigint(F.col("pos")), F.col("received_at").cast("timestamp")).alias("replica"))
+
+
 def kv_replay_file_order(spark, d):
     """Keys of which a replay in file order ends at another record than one in LSN order, per master."""
     from tidelog.functions.records import log_changes
@@ -570,6 +635,11 @@ SELECT seq, coalesce(error, CASE WHEN command = 'GET' AND w.v IS NULL THEN 'key
     "kv_stream_group_commit": f"SELECT lsn AS seq, place AS lsn, place // {BATCH} AS batch_id, key, count(*) OVER (PARTITION BY place // {BATCH}, key) AS n FROM {_NUMBERED}",
     "kv_ship_receive": _fold(_LOG),
     "kv_wal_roundtrip": _fold(_LOG),
+    "kv_wal_damaged": f"SELECT count(*) - 1 AS records, 'failed to decode argument' AS error FROM {_LOG}",
+    "kv_table_many": """SELECT 'c' || c_custkey AS key, c_custkey % 3 <> 0 AS found, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer
+UNION ALL SELECT 's' || s_suppkey, false, NULL FROM supplier""",
+    "kv_client_calls": "SELECT 'nation:' || n_nationkey AS key, n_name AS value, row_number() OVER (ORDER BY n_nationkey) - 1 AS lsn FROM nation QUALIFY n_regionkey <> 2",
+    "kv_replica_ids": f"SELECT msg_id, CASE WHEN msg_id % 2 = 0 THEN slave_id ELSE 'slave-' || (epoch_ms(received_at) // 1000) || '-' || last_lsn END AS replica FROM {_HANDSHAKE} JOIN (SELECT msg_id, received_at FROM sync_messages) USING (msg_id) WHERE accepted",
     "kv_wal_scan_from_lsn": f"SELECT lsn, command, key FROM {_LOG} WHERE lsn >= 9000",
     "kv_wal_tail": f"SELECT lsn, command, key FROM {_LOG} WHERE lsn >= 2000",
     "kv_wal_segments": f"SELECT count(*) AS records, min(lsn) AS first_lsn, max(lsn) AS last_lsn, CAST(0 AS BIGINT) AS wrong FROM {_LOG}",
@@ -582,3 +652,4 @@ FROM wal_log WHERE {_OK} GROUP BY 1, 2 HAVING by_file <> by_lsn""",
     "kv_compaction_savings": f"""SELECT segment, count(*) AS records, CAST(sum(CASE WHEN lsn < live AND lsn <= 7500 THEN 1 ELSE 0 END) AS BIGINT) AS dead FROM (
  SELECT lsn // 1000 AS segment, lsn, max(lsn) OVER (PARTITION BY key) AS live FROM {_LOG}) GROUP BY 1""",
 }
+SQL["kv_table_many_wal"] = SQL["kv_table_many"]

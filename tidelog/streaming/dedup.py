@@ -14,11 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidelog.functions.records import valid_batch
 from tidelog.functions.u64 import to_pos
 from tidelog.operators.sizing import broadcast_if_small
-from tidelog.session import child_dirs, make_dir, shared_dir, stream_path
+from tidelog.session import child_dirs, delete_path, make_dir, path_exists, rename_path, shared_dir, stream_path
 
 BLOCK_BITS = 16
 HORIZON = "6 hours"
-BYTES_PER_TRIGGER = 512 << 20
+BYTES_PER_TRIGGER, BYTES_PER_CORE = 512 << 20, 64 << 20
 LATE_BROADCAST = 200_000
 PRUNED_BLOCKS = 200
 NO_BATCH_ID = 2**63 - 1
@@ -89,7 +89,8 @@ class Deduplicator:
 
     The ledger lies below ``ledger/outcome=.../slot=.../epoch=...``. A slot is a share of all (replica, block) pairs, the
     same share that one task of the stream holds the states of, so a task writes one file per epoch and outcome. The
-    late lookup opens only the slots that late copies fall into, and skips row groups by ``pos``.
+    late lookup opens only the slots that late copies fall into, and skips row groups by ``pos``. ``compact`` merges the files of
+    all epochs, slot by slot.
 
     Batches that are not valid, and events without an LSN in the unsigned 64-bit range, are left out. A null
     ``sent_at`` says nothing about time: such events take the watermark as it is. Null master or slave ids
@@ -97,12 +98,14 @@ class Deduplicator:
     read twice (a repeated row) is one copy. Extra columns are ignored. An empty input keeps nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, horizon: str = HORIZON, bits: int = BLOCK_BITS, files_per_trigger: int | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
+    def __init__(self, spark: SparkSession, path: str | None = None, horizon: str = HORIZON, bits: int = BLOCK_BITS, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None):
         self.spark, self.path = spark, path or shared_dir(spark, "dedup")
         self.horizon, self.bits = horizon, bits
-        # An epoch takes so much of the input; more at once saves commits, less bounds what a failure repeats.
+        # An epoch takes so much of the input; more at once saves commits and files, less bounds what a failure repeats.
+        bytes_per_trigger = bytes_per_trigger or max(BYTES_PER_TRIGGER, BYTES_PER_CORE * spark.sparkContext.defaultParallelism)
         self.pace = {"maxFilesPerTrigger": str(files_per_trigger)} if files_per_trigger else {"maxBytesPerTrigger": str(bytes_per_trigger)}
         self.horizon_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
+        self._repair()
         # How many slots and how wide a block: fixed by the first run, whatever the session says later.
         found = [n.split("-") for n in child_dirs(spark, self.path) if n.startswith("slots-")]
         if found:
@@ -203,6 +206,27 @@ class Deduplicator:
             raise RuntimeError(f"the engine dropped {dropped} late rows, which must reach the state")
         return self
 
+    def compact(self) -> "Deduplicator":
+        """Merge the ledger's files, those of one slot into one or a few; between runs only. The old ledger goes when the new one is whole."""
+        ledger, new, old = (f"{self.path}/{n}" for n in ("ledger", "ledger-new", "ledger-old"))
+        if not path_exists(self.spark, ledger):
+            return self
+        rows = self.spark.read.parquet(ledger)
+        last = rows.agg(F.max("epoch")).first()[0]
+        rows = rows.where("outcome <> 'check'").withColumn("epoch", F.lit(last)).withColumn("step", F.lit(2)).repartition("outcome", "slot").sortWithinPartitions("outcome", "slot", *NAME)
+        rows.write.mode("overwrite").partitionBy("outcome", "slot", "epoch", "step").parquet(new)
+        rename_path(self.spark, ledger, old)
+        self._repair()
+        return self
+
+    def _repair(self) -> None:
+        """Finish a compaction that was interrupted between its renames."""
+        ledger, new, old = (f"{self.path}/{n}" for n in ("ledger", "ledger-new", "ledger-old"))
+        if path_exists(self.spark, old):
+            if not path_exists(self.spark, ledger):
+                rename_path(self.spark, new, ledger)
+            delete_path(self.spark, old)
+
     def surplus(self) -> DataFrame:
         """``(master_id, slave_id, pos, batch_id, event_pos)`` of every copy but the first."""
         return self._given(self._rows("surplus").drop("slot", "epoch").distinct())
