@@ -8,7 +8,6 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -316,8 +315,8 @@ def mine_rules(paragraphs: DataFrame, subjects: list[str], word_odds: float = WO
         confidence = F.least((F.col(f"k_{part}") + SMOOTHING * rate) / (F.col(f"n_{part}") + SMOOTHING), F.lit(SUREST))
         known = known.select("body", "subject", confidence.alias("p")).where(F.col("p") * (1 - rate) >= MIN_ODDS * rate * (1 - F.col("p")))
         # Parts of a rule may have been grown in other groups.
-        parts = F.udf(lambda body: [list(c) for m in range(2, len(body)) for c in combinations(body, m)], "array<array<int>>")
-        wider = known.where("size(body) > 2").select("body", "subject", F.explode(parts("body")).alias("part"))
+        picks = "transform(sequence(1, shiftleft(1, size(body)) - 2), m -> filter(body, (x, i) -> (shiftright(m, i) & 1) = 1))"
+        wider = known.where("size(body) > 2").select("body", "subject", F.explode(F.expr(picks)).alias("part")).where("size(part) > 1")
         general = known.select(F.col("body").alias("part"), "subject", F.col("p").alias("general"))
         beaten = wider.join(general, ["part", "subject"]).groupBy("body", "subject").agg(F.max("general").alias("general"))
         left = known.join(beaten, ["body", "subject"], "left").where(F.col("general").isNull() | (F.col("p") >= F.col("general") + MIN_GAIN))
