@@ -15,7 +15,7 @@ from tidelog.session import materialize
 NODE_ITEMS = 1_000_000
 NODE_BYTES = 64_000_000
 CANDIDATES_BROADCAST = 50_000
-LEADERS = 1_000
+LEADERS = 10_000
 
 
 def _counter(columns: list[str], schema: pa.Schema, node_items: int, node_bytes: int):
@@ -83,8 +83,8 @@ def frequent_items(
     1. Each node holds its local counts; the leaders' partial sums give a lower bound of the k-th count
        (``at_least`` is one as it stands). A node's leaders are its first ``LEADERS`` items, or k if that is more.
     2. Of m nodes, one that alone accounts for at least bound/m of an item must exist for every item at or above
-       the bound. Items above that share somewhere are fetched; what the silent nodes may add caps each one, and
-       those that cannot reach the bound are dropped.
+       the bound. Items above that share somewhere are fetched; their sums raise the bound; what the silent nodes may add
+       caps each one, and those that cannot reach the bound are dropped.
     3. The candidates left are counted exactly over all nodes.
 
     Local counts lie in a table in the shared folder, so that the phases read the same numbers if executors are
@@ -113,7 +113,11 @@ def frequent_items(
     if 2 * told.told > told.all:
         exact = summed(local)
     else:
-        known = local.where(F.col("n") >= share).groupBy(*columns).agg(F.sum("n").alias("n"), F.count("*").alias("speaking"))
+        known = materialize(local.where(F.col("n") >= share).groupBy(*columns).agg(F.sum("n").alias("n"), F.count("*").alias("speaking")), "known")
+        if k is not None:
+            # What has been told so far is a better bound than the leaders gave.
+            kth = known.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("n"), F.count("*").alias("c")).first()
+            bound = max(bound, kth.n) if kth.c == k else bound
         candidates = known.where(F.col("n") + (nodes - F.col("speaking")) * (share - 1) >= bound).select(*columns)
         candidates = broadcast_if_small(materialize(candidates, "candidates"), CANDIDATES_BROADCAST)
         same = [F.col(f"held.{c}").eqNullSafe(F.col(f"cand.{c}")) for c in columns]
