@@ -80,7 +80,7 @@ def _one_value(column: str) -> Column:
 
 
 def handshakes(messages: DataFrame) -> DataFrame:
-    """Parsed sync messages: input columns plus ``accepted``, ``slave``, ``pos`` (null: nothing applied yet).
+    """Parsed sync messages: input columns plus ``accepted``, ``slave``, ``pos`` (null: nothing applied yet), which replace any of these names.
 
     The whole text must be one JSON object. ``last_lsn`` is taken as the raw text of its JSON value, so quoted
     numbers, fractions and exponents are refused; so are anything beyond 2^64-1 and an object that names a member twice.
@@ -98,7 +98,7 @@ def handshakes(messages: DataFrame) -> DataFrame:
     whole = F.schema_of_variant(v).startswith("OBJECT") & m["bad"].isNull()
     good = whole & (text("$.type") == "lsn_sync") & (F.length(text("$.slave_id")) > 0) & number.isNotNull() & ok
     return messages.select(
-        "*",
+        *(F.col(c) for c in messages.columns if c not in ("accepted", "slave", "pos")),
         F.coalesce(good, F.lit(False)).alias("accepted"),
         text("$.slave_id").alias("slave"),
         F.when(number < dec(MAX_U64), to_pos(number)).alias("pos"),

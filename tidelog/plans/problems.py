@@ -184,7 +184,7 @@ SQL = {
     "p1_with_base": f"""WITH live AS ({_LIVE}), base AS ({_LIVE.replace("FROM wal_log", "FROM replica_log")})
 SELECT master_id, hex(arguments[1]) AS key_hex, hex(arguments[2]) AS value_hex, lsn FROM live
 UNION ALL SELECT master_id, hex(arguments[1]), hex(arguments[2]), NULL FROM base b
- WHERE NOT EXISTS (SELECT 1 FROM wal_log w WHERE w.master_id = b.master_id AND w.arguments[1] = b.arguments[1] AND {_APPLICABLE.replace("lsn", "w.lsn").replace("command", "w.command").replace("arguments", "w.arguments")})""",
+ WHERE NOT EXISTS (SELECT 1 FROM wal_log w WHERE w.master_id IS NOT DISTINCT FROM b.master_id AND w.arguments[1] = b.arguments[1] AND {_APPLICABLE.replace("lsn", "w.lsn").replace("command", "w.command").replace("arguments", "w.arguments")})""",
     "p2_found": f"SELECT batch_id, event_pos FROM ({_COPIES}) WHERE copy > 1",
     "p2_kept": f"SELECT master_id, slave_id, CAST(lsn AS BIGINT) AS lsn, batch_id, event_pos FROM ({_COPIES}) WHERE copy = 1",
     "p3_found": f"SELECT master_id, slave_id, lsn FROM ({_LACKING})",
