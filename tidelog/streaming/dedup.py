@@ -23,6 +23,7 @@ LATE_BROADCAST = 200_000
 PRUNED_BLOCKS = 200
 NO_BATCH_ID = 2**63 - 1
 CHUNK_EVENTS = 1024
+EMPTY_EPOCHS = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 NAME = ["master_id", "slave_id", "pos"]
 LEDGER = "master_id string, slave_id string, pos bigint, batch_id bigint, event_pos bigint"
@@ -194,13 +195,19 @@ class Deduplicator:
         tracked = rows.groupBy("master_id", "slave_id", "block").applyInPandasWithState(
             _track(self.horizon_ms), OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
-        query = (
-            tracked.writeStream.foreachBatch(self._resolve)
-            .option("checkpointLocation", f"{self.path}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        # States expire along with the next rows that come; an epoch of its own, without rows, would have to go through all of them.
+        before = self.spark.conf.get(EMPTY_EPOCHS)
+        self.spark.conf.set(EMPTY_EPOCHS, "false")
+        try:
+            query = (
+                tracked.writeStream.foreachBatch(self._resolve)
+                .option("checkpointLocation", f"{self.path}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
+        finally:
+            self.spark.conf.set(EMPTY_EPOCHS, before)
         dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
         if dropped:
             raise RuntimeError(f"the engine dropped {dropped} late rows, which must reach the state")
